@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -80,7 +80,7 @@ def upload_pages(files: DataFrame) -> DataFrame:
     return parse_pages(docs)
 
 
-def _no_metadata(meta_title) -> F.Column:
+def _no_metadata(meta_title: Column) -> Column:
     null = F.lit(None)
     return F.struct(
         null.alias("canonical"),
