@@ -139,13 +139,16 @@ def sanitize_anchor(c: Column) -> Column:
 def bigrams(c: Column) -> Column:
     """Distinct two-character slices."""
 
-    def slices(t: Column) -> Column:
-        cut = F.transform(F.sequence(F.lit(1), F.length(t) - 1), lambda i: F.substring(t, i, 2))
-        return F.when(F.length(t) >= 2, F.array_distinct(cut)).otherwise(
+    def pairs(chars: Column) -> Column:
+        rest = F.size(chars) - 1
+        joined = F.zip_with(
+            F.slice(chars, F.lit(1), rest), F.slice(chars, F.lit(2), rest), lambda x, y: F.concat(x, y)
+        )
+        return F.when(rest >= 1, F.array_distinct(joined)).otherwise(
             F.array().cast("array<string>")
         )
 
-    return let(c, slices)
+    return let(F.regexp_extract_all(c, F.lit("(?s)."), F.lit(0)), pairs)
 
 
 def bigram_overlap(a: Column, b: Column) -> Column:

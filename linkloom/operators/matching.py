@@ -44,15 +44,16 @@ def eligible_targets(targets: DataFrame) -> DataFrame:
     )
 
 
-def target_guards(pairs: DataFrame) -> DataFrame:
-    """Pairs (source_id, source_url, existing_links, target_id, target_url,
-    noindex, http_status) without self, noindex, error and linked targets."""
-    linked = linked_urls(F.col("existing_links"), F.col("source_url"))
-    return (
-        eligible_targets(pairs)
-        .filter(F.col("source_id") != F.col("target_id"))
-        .filter(~F.array_contains(linked, link_key(F.col("target_url"))))
+def target_guards(pairs: DataFrame, articles: DataFrame) -> DataFrame:
+    """Pairs (project_id, source_id, target_id) without self, noindex, error
+    and already linked targets."""
+    open_targets = eligible_targets(articles).select(
+        "project_id", F.col("article_id").alias("target_id")
+    )
+    kept = pairs.filter(F.col("source_id") != F.col("target_id")).join(
+        open_targets, ["project_id", "target_id"], "left_semi"
     )
+    return already_linked(kept, articles)
 
 
 def link_key(url: Column) -> Column:

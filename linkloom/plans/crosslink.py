@@ -89,9 +89,20 @@ def keyword_description(anchor: Column) -> Column:
     return F.concat(F.lit('Found keyword match for "'), anchor, F.lit('" in article body.'))
 
 
+def two_decimals(x: Column) -> Column:
+    """Text with two decimals, rounded by the exact binary value (x < 8)."""
+    low = F.floor(x * 100)
+    scaled = (x * F.lit(float(1 << 60))).cast("decimal(38,0)")
+    half = (2 * low + 1).cast("decimal(10,0)") * F.lit(1 << 60).cast("decimal(20,0)")
+    cents = low + F.when(scaled * 200 >= half, 1).otherwise(0)
+    return F.format_string("%d.%02d", F.floor(cents / 100), cents % 100)
+
+
 def semantic_description(similarity: Column) -> Column:
-    return F.format_string(
-        "Found semantically similar article (similarity: %.2f).", similarity
+    return F.concat(
+        F.lit("Found semantically similar article (similarity: "),
+        two_decimals(similarity),
+        F.lit(")."),
     )
 
 

@@ -104,12 +104,11 @@ def internal_links(links: Column, url: Column) -> Column:
 
 
 def spread(df: DataFrame) -> DataFrame:
-    """Use every core for CPU-heavy work when the input has too few splits.
+    """Use every core when a scan has too few splits for CPU-heavy work.
 
-    A large input already has more splits than cores and is left alone.
+    For file scans only (counting the partitions of a shuffled plan would run
+    it). A large table has more splits than cores and is left alone.
     """
-    if df.isStreaming:
-        return df
     cores = df.sparkSession.sparkContext.defaultParallelism
     return df.repartition(cores) if df.rdd.getNumPartitions() < cores else df
 
@@ -129,7 +128,7 @@ def parse_pages(pages: DataFrame) -> DataFrame:
         c for c in pages.columns if c not in ("html", "format", "http_status", "response_time_ms")
     ]
     # The page text itself is dropped right after extraction.
-    extracted = spread(pages).select(
+    extracted = pages.select(
         *carried,
         status.alias("http_status"),
         elapsed.alias("_elapsed"),
