@@ -10,7 +10,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from linkloom.operators import articles as art
-from linkloom.operators import rank, reports, review
+from linkloom.operators import matching, rank, reports, review
+from linkloom.plans.crosslink import keyword_proposals, phrase_targets
 from linkloom.plans.registry import Context, StrategyRegistry
 from linkloom.schemas import RECS, conform
 from linkloom.session import cut_lineage
@@ -152,11 +153,13 @@ def analyze(
 
 
 def page_links(articles: DataFrame, max_new: int = 10) -> DataFrame:
-    """Which pages should link to which, by exact title phrase, ranked."""
-    from linkloom.operators import matching
-    from linkloom.plans.crosslink import keyword_proposals, phrase_targets
+    """Which pages should link to which, by exact title phrase, ranked.
 
-    sources = matching.source_guards(articles)
-    targets = phrase_targets(articles)
+    Articles are stored first: the matching reads their columns several times,
+    pages should be parsed once.
+    """
+    stored = cut_lineage(articles, "articles")
+    sources = matching.source_guards(stored)
+    targets = cut_lineage(phrase_targets(stored), "phrase-targets")
     pairs = matching.keyword_exact(sources, targets, max_new)
     return rank.rank_recs(keyword_proposals(pairs, targets))

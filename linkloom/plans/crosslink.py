@@ -166,7 +166,8 @@ def crosslink(context: Context, settings: Mapping[str, Any] | None = None) -> Da
     )
     proposals = spark.createDataFrame([], PROPOSALS)
     if "keyword" in options["approaches"]:
-        targets = phrase_targets(articles)
+        # Titles only, but read by every step of the matching.
+        targets = cut_lineage(phrase_targets(articles), "phrase-targets")
         found = keyword_pairs(
             sources, targets, float(options["fuzzy_tolerance"]), max_new, options["fuzzy_plan"]
         )

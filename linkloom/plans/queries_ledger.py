@@ -15,7 +15,7 @@ from linkloom.plans.inputs import with_ctes as w
 from linkloom.plans.ingest import ingest
 from linkloom.plans.registry import StrategyRegistry
 from linkloom.schemas import ARTICLES, RECS, RUNS, conform
-from linkloom.session import work_path
+from linkloom.session import cut_lineage, work_path
 from linkloom.streaming import ingest as stream_ingest
 from linkloom.streaming import liveness, rate_limit
 
@@ -334,7 +334,7 @@ def _supersede(spark, sf):
 
 @query(
     "config_lookup",
-    "SELECT CAST(c_custkey AS VARCHAR) AS project_id, CASE WHEN c_custkey % 3 = 0 AND c_acctbal > 0 THEN 0.6 ELSE 0.75 END AS "
+    "SELECT CAST(c_custkey AS VARCHAR) AS project_id, CAST(CASE WHEN c_custkey % 3 = 0 AND c_acctbal > 0 THEN 0.6 ELSE 0.75 END AS DOUBLE) AS "
     "similarity_threshold, 0.8::DOUBLE AS fuzzy_tolerance, CASE WHEN c_custkey % 3 = 0 THEN c_nationkey ELSE 10 END AS "
     "max_links_per_page FROM customer",
 )
@@ -623,7 +623,7 @@ def _event_stream(spark, sf):
     schema = i.table(spark, sf, "events").schema
     return (
         spark.readStream.schema(schema)
-        .parquet(f"{sf}/events.parquet")
+        .parquet(f"{sf}/events.parquet*")
         .withColumn("ts", F.col("ts").cast("timestamp"))
     )
 
@@ -702,7 +702,7 @@ def _fold_stream(spark, sf):
 )
 def _incremental(spark, sf):
     schema = i.table(spark, sf, "pages").schema
-    pages = spark.readStream.schema(schema).parquet(f"{sf}/pages.parquet")
+    pages = spark.readStream.schema(schema).parquet(f"{sf}/pages.parquet*")
     path, checkpoint = work_path(spark, "articles"), work_path(spark, "articles-checkpoint")
     stream_ingest.incremental_ingest(pages, path, checkpoint, i.language()).awaitTermination()
     return stream_ingest.current_articles(spark, path).select(
@@ -759,7 +759,7 @@ def _analyze(spark, sf):
         F.lit("r1").alias("run_id"), F.lit("en").alias("project_id"), F.lit("pending").alias("status")
     )
     tables = {
-        "articles": conform(i.page_articles(spark, sf), ARTICLES),
+        "articles": cut_lineage(conform(i.page_articles(spark, sf), ARTICLES), "articles"),
         "recs": spark.createDataFrame([], RECS),
         "runs": conform(run, RUNS),
     }

@@ -14,6 +14,7 @@ from linkloom.plans.analyze import page_links
 from linkloom.plans.catalog import query
 from linkloom.plans.inputs import with_ctes as w
 from linkloom.plans.registry import Context, Strategy
+from linkloom.session import cut_lineage
 
 # --- guards ----------------------------------------------------------------------------
 
@@ -102,8 +103,10 @@ def _target_guards(spark, sf):
 
 
 def _page_sides(spark, sf):
-    pages = i.page_articles(spark, sf)
-    return matching.source_guards(pages), cl.phrase_targets(pages)
+    """Guarded sources and phrase targets of the stored pages."""
+    pages = cut_lineage(i.page_articles(spark, sf), "articles")
+    targets = cut_lineage(cl.phrase_targets(pages), "phrase-targets")
+    return matching.source_guards(pages), targets
 
 
 def _naive(limit: str) -> str:
@@ -296,7 +299,8 @@ def _except(spark, sf):
 
 def _run_crosslink(spark, sf):
     settings = {"similarity_threshold": 0.3, "max_links_per_page": 10}
-    return cl.crosslink(Context(i.embedded_documents(spark, sf)), settings)
+    stored = cut_lineage(i.embedded_documents(spark, sf), "articles")
+    return cl.crosslink(Context(stored), settings)
 
 
 @query("crosslink")

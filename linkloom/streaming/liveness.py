@@ -30,7 +30,7 @@ def liveness_stream(heartbeats: DataFrame) -> DataFrame:
         last = state.get[0] if state.exists else 0
         for frame in frames:
             newest = frame["ts"].max()
-            last = max(last, int(newest.timestamp() * 1000))
+            last = max(last, newest.value // 1_000_000)
         state.update((last,))
         state.setTimeoutTimestamp(max(last + SILENCE_MS, state.getCurrentWatermarkMs() + 1))
 
