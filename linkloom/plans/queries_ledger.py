@@ -666,8 +666,8 @@ def _rate_stream(spark, sf):
 
 @query(
     "liveness_stream",
-    "SELECT user_id AS run_id, epoch_ms(max(ts)) AS last_seen_ms FROM events GROUP BY 1 HAVING epoch_ms(max(ts)) + 600000 < "
-    "(SELECT epoch_ms(max(ts)) - 600000 FROM events)",
+    "SELECT user_id AS run_id, epoch_us(max(ts)) // 1000 AS last_seen_ms FROM events GROUP BY 1 HAVING "
+    "epoch_us(max(ts)) // 1000 + 600000 < (SELECT epoch_us(max(ts)) // 1000 - 600000 FROM events)",
 )
 def _liveness(spark, sf):
     beats = _event_stream(spark, sf).select(F.col("user_id").alias("run_id"), "ts")
