@@ -27,13 +27,21 @@ def reachable(status: Column) -> Column:
 
 def source_guards(sources: DataFrame) -> DataFrame:
     """Sources worth analysing: reachable, long enough, with a body, and in a
-    project of at least two articles."""
+    project of at least two articles.
+
+    An empty body is told by its hash where there is one, so that steps which
+    need no text do not read the body column.
+    """
+    if "body_hash" in sources.columns:
+        filled = F.col("body_hash") != tx.content_hash(F.lit(""))
+    else:
+        filled = F.col("body") != ""
     sizes = sources.groupBy("project_id").agg(F.count("*").alias("_articles"))
     return (
         sources.join(sizes.filter(F.col("_articles") >= 2), "project_id", "left_semi")
         .filter(reachable(F.col("http_status")))
         .filter(F.col("word_count") >= MIN_SOURCE_WORDS)
-        .filter(F.col("body") != "")
+        .filter(filled)
     )
 
 
