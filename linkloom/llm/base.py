@@ -8,6 +8,8 @@ from collections.abc import Callable, Iterator
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.pandas.types import to_arrow_type
+from pyspark.sql.types import StructField, StructType
 
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
@@ -63,3 +65,27 @@ def by_batch(fn: Callable[[pa.RecordBatch], pa.RecordBatch]):
             yield fn(batch)
 
     return run
+
+
+def annotate(df: DataFrame, column: str, carry: list[str], fn, out: str) -> DataFrame:
+    """``row`` (a struct of the columns ``carry``) and what ``fn`` makes of a text column.
+
+    ``fn`` takes the texts of a batch (null as None) and returns a list of values
+    for each field of ``out``, a DDL schema. Since the carried columns stay inside
+    ``row``, no name can clash. Rows are neither moved nor keyed, so repeated rows
+    and null keys need no care.
+    """
+    small_batches(df.sparkSession)
+    fields = StructType.fromDDL(out)
+    row = F.struct(*[df[f"`{c}`"] for c in carry]) if carry else F.struct(F.lit(0).alias("none"))
+    given = df.select(row.alias("row"), df[f"`{column}`"].cast("string").alias("value"))
+    schema = StructType([StructField("row", given.schema["row"].dataType), *fields.fields])
+    types = [to_arrow_type(f.dataType) for f in fields.fields]
+    names = ["row", *fields.names]
+
+    def run(batch: pa.RecordBatch) -> pa.RecordBatch:
+        made = fn(batch.column("value").to_pylist())
+        arrays = [pa.array(v, t) for v, t in zip(made, types, strict=True)]
+        return pa.RecordBatch.from_arrays([batch.column("row"), *arrays], names=names)
+
+    return given.mapInArrow(by_batch(run), schema)

@@ -1,4 +1,15 @@
-"""Imports every module that registers a query, and the pipeline."""
+"""Imports every module that registers a query."""
 
-from linkloom.llm import neardup  # noqa: F401
+from linkloom.llm import (  # noqa: F401
+    contamination,
+    html_extract,
+    line_dedup,
+    neardup,
+    pieces,
+    repetition,
+    secret_scan,
+    sharding,
+    toxicity,
+    url_filter,
+)
 from linkloom.llm.base import QUERIES, SQL  # noqa: F401
