@@ -154,9 +154,10 @@ def main_text(html: str | None) -> str:
     """The article of a page as blocks joined by an empty line.
 
     Lines' text-to-tag ratios are smoothed and parted into two clusters. A
-    region with a line in the upper cluster is content and gives all its lines,
-    so short paragraphs of an article stay; an ``article`` or ``main`` region is
-    content by its name. Other regions are dropped when the page has such one.
+    region with at least half of its text in lines of the upper cluster is
+    content and gives all its lines, so short paragraphs of an article stay; an
+    ``article`` or ``main`` region is content by its name. Other regions are
+    dropped when the page has such one.
     """
     if not html:
         return ""
@@ -173,7 +174,12 @@ def main_text(html: str | None) -> str:
     cut = threshold(values)
     chosen = {r for _, _, r in lines if r in parser.bodies}
     if not chosen:
-        chosen = {r for (_, _, r), v in zip(lines, values, strict=True) if v >= cut}
+        size: dict[int, int] = {}
+        dense: dict[int, int] = {}
+        for (text, _, r), v in zip(lines, values, strict=True):
+            size[r] = size.get(r, 0) + len(text)
+            dense[r] = dense.get(r, 0) + (len(text) if v >= cut else 0)
+        chosen = {r for r in size if 2 * dense[r] >= size[r]}
     return "\n\n".join(text for text, _, r in lines if r in chosen)
 
 

@@ -194,13 +194,12 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
     )
     ids = signed.where("doc_id IS NOT NULL AND node IS NOT NULL")
     copies = ids.groupBy("node").agg(F.min("doc_id").alias("rep"))
+    one = F.min_by(F.struct("doc_id", "bands", "sig"), "doc_id").alias("one")
     texts = cut_lineage(
         ids.where("bands IS NOT NULL")
-        .join(copies, "node")
-        .where("doc_id = rep")
-        .select("node", F.col("rep").alias("id"), "bands", F.col("sig").alias("payload"))
-        .dropDuplicates(["node"])
-        .drop("node"),
+        .groupBy("node")
+        .agg(one)
+        .select(F.col("one.doc_id").alias("id"), "one.bands", F.col("one.sig").alias("payload")),
         "near-texts",
     )
     buckets = texts.select(F.explode("bands").alias("grp"), "id").distinct()

@@ -30,11 +30,11 @@ def library():
 
 
 def by_library(library, vocabulary, text):
-    """Unit by unit: the library adds scores in single precision, where one unknown
-    character (about -10**9) would hide all others of a text."""
+    """The best path of the library's lattice, unit by unit: it adds scores in single
+    precision, where one unknown character (about -10**9) hides all others."""
     ids = []
     for unit in re.findall(pieces.UNIT, vocabulary.prepared(text)):
-        ids += library.encode(unit)
+        ids += library.nbest_encode_as_ids(unit, 2)[0]
     return ids
 
 
