@@ -163,6 +163,9 @@ def main_text(html: str | None) -> str:
         return ""
     if "<![" in html:  # the parser raises on unknown sections; in HTML they are comments
         html = re.sub(r"<!\[[^>]*>?", "", html)
+    last = html.rfind("<")
+    if last > html.rfind(">") and re.match("[A-Za-z/!?]", html[last + 1 :]):
+        html = html[:last]  # a page cut inside a tag
     parser = _Lines()
     parser.feed(html)
     parser.close()

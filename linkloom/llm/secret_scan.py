@@ -21,9 +21,9 @@ _ASSIGN = re.compile(
 )
 _ACCESS = re.compile(r"AKIA[A-Z0-9]{14,}")
 _HEX = re.compile(r"[0-9a-f]{16,}")
-#: Candidates: hex of either case, base64 of either alphabet (line breaks inside allowed), three dotted parts.
+#: Candidates: hex of either case, base64 (line breaks inside allowed), its alphabet for urls, three dotted parts.
 _HEX_RUN = re.compile(r"[0-9A-Fa-f]{64,}")
-_BASE64_RUN = re.compile(r"[A-Za-z0-9+/_-]{40,}(?:\r?\n[A-Za-z0-9+/_-]+)*={0,2}")
+_BASE64_RUN = re.compile(r"[A-Za-z0-9+/]{40,}(?:\r?\n[A-Za-z0-9+/]+)*={0,2}|[A-Za-z0-9_-]{40,}")
 _DOTTED = re.compile(r"[A-Za-z0-9_-]{16,}\.[A-Za-z0-9_-]{2,}\.[A-Za-z0-9_-]*")
 _NAME = re.compile(rb"(?:ssh|ecdsa|sk)-[a-z0-9@.-]+")
 #: DER tags that occur in key encodings: integer, bit string, octet string, null,
@@ -113,6 +113,25 @@ def _decode64(text: str) -> bytes | None:
         return None
 
 
+def _first_lines(run: str) -> str:
+    """The leading lines of a base64 run that the length in its header asks for:
+    text below a key may look like one more line."""
+    head = _decode64(run[:8]) or b""
+    if len(head) < 6 or head[0] != 0x30:
+        return run
+    size, n = head[1], 0
+    if size & 0x80:
+        n = size & 0x7F
+        size = int.from_bytes(head[2 : 2 + n], "big") if n <= 4 else 0
+    need, seen, at = -(-(2 + n + size) * 4 // 3), 0, 0
+    for line in run.splitlines(keepends=True):
+        at += len(line)
+        seen += len(line.rstrip("\r\n="))
+        if seen >= need:
+            return run[:at].rstrip("\r\n")
+    return run
+
+
 def signed_token(text: str) -> bool:
     """Header and payload are JSON objects; the header names an algorithm."""
     header, payload, signature = text.split(".")
@@ -137,13 +156,14 @@ def confirmed_spans(text: str) -> list[tuple[int, int, str]]:
         elif ssh_key(data):
             out.append((m.start(), m.end(), "ssh"))
     for m in _BASE64_RUN.finditer(text):
-        data = _decode64(m.group()) if m.group()[0] in "MAb" else None
-        if data is None:
+        if m.group()[0] not in "MAb":  # no other first letter begins a sequence or a name's length
             continue
-        if der_key(data):
-            out.append((m.start(), m.end(), "der"))
-        elif ssh_key(data):
-            out.append((m.start(), m.end(), "ssh"))
+        run = _first_lines(m.group())
+        data = _decode64(run)
+        if data and der_key(data):
+            out.append((m.start(), m.start() + len(run), "der"))
+        elif data and ssh_key(data):
+            out.append((m.start(), m.start() + len(run), "ssh"))
     out += [(m.start(), m.end(), "jwt") for m in _DOTTED.finditer(text) if signed_token(m.group())]
     return out
 

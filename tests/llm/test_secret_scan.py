@@ -37,11 +37,12 @@ def test_structures():
     assert kinds(f"Bearer {TOKEN};") == [("jwt", TOKEN)]
     lines = "\n".join(re.findall(".{1,64}", b64(RSA)))
     assert kinds(f"-----BEGIN RSA PRIVATE KEY-----\n{lines}\n-----END") == [("der", lines)]
+    assert kinds(f"{lines}\nThe") == [("der", lines)]
 
 
 def test_broken_structures_are_not_reported():
     short = bytearray(RSA)
-    short[5] ^= 0xFF
+    short[4] ^= 0xFF
     for text in (b64(bytes(short)), b64(RSA[:-9]), b64(SSH[:-3]), b64(b"M" * 90), "0" * 80, TOKEN.replace("eyJ", "eyK", 1), "a" * 20 + ".bb.cc"):
         assert kinds(text) == []
 
