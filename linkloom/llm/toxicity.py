@@ -19,11 +19,15 @@ BUCKET_BITS = 18
 WIDTH = 8
 #: The fit uses at most so many labelled texts of each class (the ones whose ids
 #: hash lowest); class weights bring back the shares of all labelled rows.
-SAMPLE_TOXIC, SAMPLE_CLEAN = 1500, 3000
-EPOCHS = 15
+SAMPLE_TOXIC, SAMPLE_CLEAN = 2000, 6000
+#: Buckets that fewer texts of the sample fill keep the vector 0.
+MIN_TEXTS = 4
+EPOCHS, RATE = 8, 0.3
 THRESHOLD = 0.3
-#: Factor on the average, so that rare subwords of a long text can decide.
-GAIN = 50.0
+#: Factor on the average, so that rare subwords of a long text can decide, and
+#: neutral subwords that each average holds besides, so that a short text can't
+#: be judged by a few rare ones.
+GAIN, NEUTRAL = 50.0, 200.0
 _U = np.uint64
 
 
@@ -68,9 +72,9 @@ def _bags(batches):
         for text in batch.column("text").to_pylist():
             k, n = np.unique(buckets(text), return_counts=True)
             keys.append(k.astype(np.int32))
-            counts.append(n.astype(np.int32))
+            counts.append(np.minimum(n, 32767).astype(np.int16))
         yield pa.RecordBatch.from_arrays(
-            [batch.column("label"), pa.array(keys, pa.list_(pa.int32())), pa.array(counts, pa.list_(pa.int32()))],
+            [batch.column("label"), pa.array(keys, pa.list_(pa.int32())), pa.array(counts, pa.list_(pa.int16()))],
             names=["label", "keys", "counts"],
         )
 
@@ -78,28 +82,34 @@ def _bags(batches):
 def fit(labels: np.ndarray, keys: list, counts: list, share: float, seed: int = 7) -> Model:
     """Embeddings and softmax trained together by Adam on minibatches.
 
-    ``share`` is the share of toxic rows that the scores should assume.
+    ``share`` is the share of toxic rows that the scores should assume. The large
+    constant under Adam's root keeps rare buckets from moving as fast as common
+    ones, so that single texts aren't learnt by heart.
     """
     size, n = 1 << BUCKET_BITS, len(labels)
     rng = np.random.default_rng(seed)
-    vectors = rng.normal(0, 0.01, (size, WIDTH)).astype(np.float32)
+    texts = np.bincount(np.concatenate(keys), minlength=size) if n else np.zeros(size, dtype=np.int64)
+    kept = np.flatnonzero(texts >= min(MIN_TEXTS, max(1, n // 20)))
+    place = np.full(size, -1)
+    place[kept] = np.arange(len(kept))
+    bags = []
+    for k, c in zip(keys, counts, strict=True):
+        here = place[k] >= 0
+        bags.append((place[k[here]], (c[here] / (c.sum() + NEUTRAL)).astype(np.float32)))
+    vectors = rng.normal(0, 0.01, (len(kept), WIDTH)).astype(np.float32)
     output = rng.normal(0, 0.5, (WIDTH, 2)).astype(np.float32)
-    bias = np.log(np.array([1 - share, share], dtype=np.float64)).astype(np.float32)
-    mine = max(1e-9, labels.mean()) if n else 1
-    weights = np.where(labels == 1, share / mine, (1 - share) / max(1e-9, 1 - mine)).astype(np.float32)
-    m, v = np.zeros_like(vectors), np.zeros_like(vectors)
-    mo, vo = np.zeros_like(output), np.zeros_like(output)
+    bias = np.log(np.array([1 - share, share])).astype(np.float32)
+    mine = min(1 - 1e-9, max(1e-9, labels.mean())) if n else 0.5
+    weights = np.where(labels == 1, share / mine, (1 - share) / (1 - mine)).astype(np.float32)
+    m, v, mo, vo = np.zeros_like(vectors), np.zeros_like(vectors), np.zeros_like(output), np.zeros_like(output)
     step, batch = 0, 64 if n < 2000 else 128
     for epoch in range(EPOCHS):
-        rate = 0.03 * (1 - epoch / EPOCHS) + 0.001
+        rate = RATE * (1 - epoch / EPOCHS) + 0.001
         order = rng.permutation(n)
-        for low in range(0, n, batch):
-            rows = order[low : low + batch]
-            sizes = np.array([len(keys[r]) for r in rows])
-            key = np.concatenate([keys[r] for r in rows]) if len(rows) else np.zeros(0, np.int64)
-            part = np.concatenate([counts[r] / max(1, counts[r].sum()) for r in rows]).astype(np.float32)
-            row = np.repeat(np.arange(len(rows)), sizes)
-            used, place = np.unique(key, return_inverse=True)
+        for rows in np.split(order, range(batch, n, batch)) if n else []:
+            key = np.concatenate([bags[r][0] for r in rows])
+            part = np.concatenate([bags[r][1] for r in rows])
+            row = np.repeat(np.arange(len(rows)), [len(bags[r][0]) for r in rows])
             mean = np.stack([np.bincount(row, part * vectors[key, d], len(rows)) for d in range(WIDTH)], 1).astype(np.float32) * GAIN
             logits = mean @ output + bias
             p = np.exp(logits - logits.max(1, keepdims=True))
@@ -107,17 +117,18 @@ def fit(labels: np.ndarray, keys: list, counts: list, share: float, seed: int =
             p[np.arange(len(rows)), labels[rows]] -= 1
             p *= (weights[rows] / len(rows))[:, None]
             back = (p @ output.T) * GAIN
-            grad = np.stack([np.bincount(place, part * back[row, d], len(used)) for d in range(WIDTH)], 1).astype(np.float32)
+            grad = np.stack([np.bincount(key, part * back[row, d], len(kept)) for d in range(WIDTH)], 1).astype(np.float32)
             grad_out = mean.T @ p + 1e-4 * output
             step += 1
             fix = np.sqrt(1 - 0.999**step) / (1 - 0.9**step)
-            m[used] = 0.9 * m[used] + 0.1 * grad
-            v[used] = 0.999 * v[used] + 0.001 * grad * grad
-            vectors[used] -= rate * fix * m[used] / (np.sqrt(v[used]) + 1e-7)
+            m, v = 0.9 * m + 0.1 * grad, 0.999 * v + 0.001 * grad * grad
+            vectors -= rate * fix * m / (np.sqrt(v) + 0.1)
             mo, vo = 0.9 * mo + 0.1 * grad_out, 0.999 * vo + 0.001 * grad_out * grad_out
-            output -= rate * fix * mo / (np.sqrt(vo) + 1e-7)
+            output -= rate * fix * mo / (np.sqrt(vo) + 1e-3)
             bias -= rate * p.sum(0)
-    return Model(vectors, output, bias)
+    whole = np.zeros((size, WIDTH), dtype=np.float32)
+    whole[kept] = vectors
+    return Model(whole, output, bias)
 
 
 def train(docs: DataFrame, labels: DataFrame, usable: Column | None = None) -> Model:
@@ -142,7 +153,7 @@ def train(docs: DataFrame, labels: DataFrame, usable: Column | None = None) -> M
         part = ranked.where(F.col("label") == label).orderBy("h", "doc_id").limit(most)
         picked = part if picked is None else picked.union(part)
     sample = docs.select("doc_id", "text").join(F.broadcast(picked), "doc_id").select("label", "text")
-    bags = sample.mapInArrow(_bags, "label int, keys array<int>, counts array<int>").toArrow()
+    bags = sample.mapInArrow(_bags, "label int, keys array<int>, counts array<smallint>").toArrow()
     got = bags.column("label").to_numpy().astype(np.int64)
     keys = [np.asarray(x.values) for x in bags.column("keys")]
     counts = [np.asarray(x.values) for x in bags.column("counts")]
@@ -163,7 +174,7 @@ def scored(docs: DataFrame, model: Model, carry: list[str]) -> DataFrame:
         out = []
         for text in texts:
             found = buckets(text)
-            logit = bias + (GAIN * float(held.value[found].mean(dtype=np.float64)) if len(found) else 0.0)
+            logit = bias + GAIN * float(held.value[found].sum(dtype=np.float64)) / (len(found) + NEUTRAL)
             out.append(1 / (1 + np.exp(-min(50.0, max(-50.0, logit)))))
         return [out]
 
