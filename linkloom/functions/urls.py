@@ -106,9 +106,12 @@ def _resolve_dots(path: Column) -> Column:
             .otherwise(F.concat(kept, F.array(segment)))
         )
 
-    segments = F.slice(F.split(path, "/"), 2, 1_000_000)
     resolved = let(
-        F.aggregate(segments, F.array().cast("array<string>"), step),
+        F.aggregate(
+            let(F.split(path, "/"), lambda parts: F.slice(parts, F.lit(2), F.size(parts))),
+            F.array().cast("array<string>"),
+            step,
+        ),
         lambda kept: F.concat(
             F.lit("/"),
             F.array_join(kept, "/"),

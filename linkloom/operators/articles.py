@@ -29,6 +29,26 @@ _CONTENT = (
 )
 
 
+def last_by_seq(incoming: DataFrame, key: list[str]) -> DataFrame:
+    """One row per key: the last by ``seq``, or any of several alike ones.
+
+    Without ``seq`` nothing says which of two different rows is the later one:
+    then the job fails instead of losing one.
+    """
+    if "seq" in incoming.columns:
+        return limit_per_key(incoming, key, [F.desc("seq")], 1)
+    kinds = F.struct("body_hash", "title_hash")
+    rest = [c for c in incoming.columns if c not in key]
+    one = incoming.groupBy(*key).agg(
+        F.first(F.struct(*rest)).alias("_row"), F.min(kinds).alias("_low"), F.max(kinds).alias("_high")
+    )
+    clash = F.raise_error(F.concat(F.lit("several versions without seq: "), F.col(key[-1])))
+    alike = F.col("_low").eqNullSafe(F.col("_high"))
+    return one.filter(F.when(alike, F.lit(True)).otherwise(clash.cast("boolean"))).select(
+        *[F.col(c) if c in key else F.col(f"_row.{c}").alias(c) for c in incoming.columns]
+    )
+
+
 def upsert_articles(
     current: DataFrame, incoming: DataFrame, policy: str, now: Column | None = None
 ) -> DataFrame:
@@ -36,15 +56,14 @@ def upsert_articles(
 
     crawl always overwrites; upload skips an equal body; push skips an equal
     body and title. An overwrite clears the embedding. Push leaves the HTTP
-    status alone. Of several incoming rows of one key the last by ``seq`` (if
-    that column exists) counts.
+    status alone. Of several incoming rows of one key the last by ``seq``
+    counts; without that column they must be alike, or the job fails.
     """
     if policy not in POLICIES:
         raise ValueError(f"unknown policy {policy!r}")
     now = F.current_timestamp() if now is None else now
     key = ["project_id", "url"]
-    order = [F.desc("seq")] if "seq" in incoming.columns else [F.desc("body_hash")]
-    last = limit_per_key(incoming, key, order, 1)
+    last = last_by_seq(incoming, key)
     missing = [c for c in current.columns if c not in last.columns]
     new = last.select(
         *key,

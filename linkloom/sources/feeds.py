@@ -46,21 +46,20 @@ def scan_upload_dir(
 ) -> DataFrame:
     """Files of a folder as name, extension, content (text) and synthetic url.
 
-    The whole upload is refused if one file is invalid or the total is too
-    large; ``max_total=None`` lifts the total for bulk loads, where empty files
-    are simply not read.
+    The whole upload is refused if one file is invalid (an empty one too) or the
+    total is too large; ``max_total=None`` lifts the total for bulk loads. Names
+    come from the file index that the scan itself is planned with.
     """
     files = spark.read.format("binaryFile").load(path)
     named = files.withColumn("name", F.regexp_extract("path", "([^/]+)$", 1))
     sizes = named.select("name", "length")
-    if max_total is not None:
-        # A file scan leaves empty files out; the listing still has them.
-        listed = spark.createDataFrame([(f,) for f in files.inputFiles()], "file string")
-        names = listed.select(
-            F.url_decode(F.regexp_extract("file", "([^/]+)$", 1)).alias("name"),
-            F.lit(0).cast("bigint").alias("length"),
-        )
-        sizes = sizes.unionByName(names.join(sizes, "name", "left_anti"))
+    # A file scan leaves empty files out; the listing still has them.
+    listed = spark.createDataFrame([(f,) for f in files.inputFiles()], "file string")
+    names = listed.select(
+        F.url_decode(F.regexp_extract("file", "([^/]+)$", 1)).alias("name"),
+        F.lit(0).cast("bigint").alias("length"),
+    )
+    sizes = sizes.unionByName(names.join(sizes, "name", "left_anti"))
     bad = upload_problems(sizes).orderBy("name").first()
     if bad is not None:
         raise ValueError(bad.problem)

@@ -30,6 +30,18 @@ def looks_like_xml(text: Column, content_type: Column) -> Column:
     )
 
 
+def _leading_entries(text: Column) -> Column:
+    """The first ``MAX_CHARS`` characters; of a longer XML document only whole
+    entries, with its root closed again, so that it still parses."""
+    root = F.regexp_extract(text, r"<((?:\w+:)?(?:urlset|sitemapindex))[\s>/]", 1)
+    whole = F.regexp_extract(
+        F.substring(text, 1, MAX_CHARS), r"(?s)\A(.*</(?:\w+:)?(?:url|sitemap)\s*>)", 1
+    )
+    return F.when(F.length(text) <= MAX_CHARS, text).otherwise(
+        F.concat(whole, F.lit("</"), root, F.lit(">"))
+    )
+
+
 def _classified(docs: DataFrame) -> DataFrame:
     """Adds kind (index, urlset, list, other, none) and the links found."""
     have = set(docs.columns)
@@ -39,7 +51,7 @@ def _classified(docs: DataFrame) -> DataFrame:
     text = F.substring("text", 1, MAX_CHARS)
     usable = safe & error.isNull() & F.col("status").between(200, 299)
     xml = looks_like_xml(F.col("text"), kind_col)
-    body = F.regexp_replace(text, r"\A\x{FEFF}", "")
+    body = _leading_entries(F.regexp_replace("text", r"\A\x{FEFF}", ""))
     lines = F.filter(
         F.transform(F.split(text, "\n"), tx.trim_blank), lambda u: u.rlike(r"\Ahttps?://")
     )
@@ -212,7 +224,7 @@ def cap_warnings(found: DataFrame, cap: int = MAX_URLS) -> DataFrame:
         .select(
             "root",
             F.concat(
-                F.lit("URL count cap of 10,000 reached while parsing "),
+                F.lit(f"URL count cap of {cap:,} reached while parsing "),
                 F.col("root"),
                 F.lit("; additional URLs were truncated"),
             ).alias("warning"),

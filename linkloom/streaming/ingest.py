@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 
+from linkloom.operators.articles import last_by_seq
 from linkloom.operators.matching import limit_per_key
 from linkloom.sources.pages import normalize_articles, parse_pages
 
@@ -24,8 +25,7 @@ def append_batch(batch: DataFrame, batch_id: int, path: str, policy: str) -> Non
     written. The folder is named by the batch, so a replay replaces it.
     """
     spark = batch.sparkSession
-    order = [F.desc("seq")] if "seq" in batch.columns else [F.desc("body_hash")]
-    incoming = limit_per_key(batch, KEY, order, 1)
+    incoming = last_by_seq(batch, KEY)
     jvm = spark.sparkContext._jvm
     folder = jvm.org.apache.hadoop.fs.Path(path)
     exists = folder.getFileSystem(spark._jsc.hadoopConfiguration()).exists(folder)

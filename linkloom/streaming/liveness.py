@@ -14,9 +14,13 @@ SILENCE_MS = 10 * 60 * 1000
 # ----------------------------------------------------------------------------
 
 
-def liveness_stream(heartbeats: DataFrame) -> DataFrame:
+def liveness_stream(heartbeats: DataFrame, lateness: str = "10 minutes") -> DataFrame:
     """Runs (run_id, ts) silent for ten minutes of event time: run_id,
-    last_seen, status ``timed_out``. A later heartbeat starts a new watch."""
+    last_seen, status ``timed_out``. A later heartbeat starts a new watch.
+
+    Silence is known only once the watermark has passed it: heartbeats more than
+    ``lateness`` behind the newest one don't count.
+    """
     kind = heartbeats.schema["run_id"].dataType.simpleString()
 
     def watch(key, frames, state):
@@ -36,7 +40,7 @@ def liveness_stream(heartbeats: DataFrame) -> DataFrame:
 
     return (
         heartbeats.select("run_id", "ts")
-        .withWatermark("ts", "10 minutes")
+        .withWatermark("ts", lateness)
         .groupBy("run_id")
         .applyInPandasWithState(
             watch,
@@ -48,11 +52,15 @@ def liveness_stream(heartbeats: DataFrame) -> DataFrame:
     )
 
 
-def quota_stream(runs: DataFrame) -> DataFrame:
-    """Runs per project and calendar month, updated as they arrive."""
+def quota_stream(runs: DataFrame, lateness: str | None = None) -> DataFrame:
+    """Runs per project and calendar month, updated as they arrive.
+
+    Every run counts, however late. With ``lateness`` months leave the state
+    once the watermark has passed them by that delay, and later runs are dropped.
+    """
+    timed = runs if lateness is None else runs.withWatermark("created_at", lateness)
     return (
-        runs.withWatermark("created_at", "10 minutes")
-        .groupBy("project_id", F.date_trunc("month", "created_at").alias("month"))
+        timed.groupBy("project_id", F.date_trunc("month", "created_at").alias("month"))
         .agg(F.count("*").alias("used"))
     )
 
@@ -62,9 +70,9 @@ def fold_stream(log: DataFrame) -> DataFrame:
     return ledger.ledger_fold(log)
 
 
-def fresh_updates(updates: DataFrame) -> DataFrame:
-    """Updates without the replays seen within the watermark."""
-    return updates.withWatermark("ts", "10 minutes").dropDuplicatesWithinWatermark(
+def fresh_updates(updates: DataFrame, lateness: str = "10 minutes") -> DataFrame:
+    """Updates without the replays seen within the watermark delay ``lateness``."""
+    return updates.withWatermark("ts", lateness).dropDuplicatesWithinWatermark(
         ["task_id", "status"]
     )
 

@@ -52,6 +52,7 @@ def _sessions(requests: DataFrame, limits: Mapping) -> DataFrame:
     fill = _limit(limits, F.col("endpoint"), 0) / _limit(limits, F.col("endpoint"), 1)
     rows = requests.withColumns(
         {
+            "_us": F.unix_micros("ts"),
             "_sec": F.unix_micros("ts") / F.lit(1e6),
             "_hour": F.floor(F.unix_micros("ts") / F.lit(3_600_000_000)),
         }
@@ -106,17 +107,17 @@ def rate_limit_batch(requests: DataFrame, limits: Mapping = LIMITS) -> DataFrame
     )
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        bucket, tokens, last = None, 0.0, 0.0
+        bucket, tokens, last = None, 0.0, 0
         for batch in batches:
             table = {n: batch.column(n).to_pylist() for n in (
-                "user_id", "endpoint", "_session", "_sec", "_capacity", "_rate"
+                "user_id", "endpoint", "_session", "_us", "_capacity", "_rate"
             )}
             allowed, remaining, retry = [], [], []
-            for user, endpoint, session, sec, capacity, rate in zip(*table.values()):
+            for user, endpoint, session, us, capacity, rate in zip(*table.values()):
                 if bucket != (user, endpoint, session):
-                    bucket, tokens, last = (user, endpoint, session), capacity, sec
-                tokens, ok, left, wait = consume(tokens, sec - last, capacity, rate)
-                last = sec
+                    bucket, tokens, last = (user, endpoint, session), capacity, us
+                tokens, ok, left, wait = consume(tokens, (us - last) / 1e6, capacity, rate)
+                last = us
                 allowed.append(ok)
                 remaining.append(left)
                 retry.append(wait)
@@ -129,12 +130,16 @@ def rate_limit_batch(requests: DataFrame, limits: Mapping = LIMITS) -> DataFrame
     return ordered.mapInArrow(run, schema)
 
 
-def rate_limit_stream(requests: DataFrame, limits: Mapping = LIMITS) -> DataFrame:
+def rate_limit_stream(
+    requests: DataFrame, limits: Mapping = LIMITS, lateness: str | None = None
+) -> DataFrame:
     """The same over a stream: one bucket per (user, endpoint) as keyed state.
 
-    Idle buckets leave the state ten minutes behind the watermark. Requests of
-    one micro-batch are taken in time order; a late one finds the clock where
-    it is.
+    All requests of a key in one micro-batch are taken in time order (the
+    source's rate limits bound that list); one that is late for an earlier
+    micro-batch finds the clock where it is. Every request is answered, and
+    buckets stay. With ``lateness`` (a watermark delay) idle buckets leave the
+    state, and requests later than that are dropped unanswered.
     """
     if not requests.isStreaming:
         return rate_limit_batch(requests, limits)
@@ -147,27 +152,30 @@ def rate_limit_stream(requests: DataFrame, limits: Mapping = LIMITS) -> DataFram
             state.remove()
             return
         tokens, last = state.get if state.exists else (capacity, None)
-        for frame in frames:
-            frame = frame.sort_values(["ts", "request_id"], kind="stable")
-            out = []
-            for sec in frame["ts"].astype("datetime64[us]").astype(np.int64) / 1e6:
-                elapsed = 0.0 if last is None else max(sec - last, 0.0)
-                tokens, ok, left, wait = consume(tokens, elapsed, capacity, rate)
-                last = sec if last is None else max(last, sec)
-                out.append((ok, left, wait))
-            result = frame[["request_id", "user_id", "endpoint", "ts"]].reset_index(drop=True)
-            result[["allowed", "remaining", "retry_after"]] = pd.DataFrame(out)
-            yield result
+        # A key's rows come in several Arrow batches; order holds over all of them.
+        frame = pd.concat([f[["request_id", "user_id", "endpoint", "ts"]] for f in frames])
+        frame = frame.sort_values(["ts", "request_id"], kind="stable").reset_index(drop=True)
+        out = []
+        # Microseconds: exact in the state's doubles, as their differences are.
+        for us in frame["ts"].astype("datetime64[us]").astype(np.int64).astype(float):
+            elapsed = 0.0 if last is None else max(us - last, 0.0) / 1e6
+            tokens, ok, left, wait = consume(tokens, elapsed, capacity, rate)
+            last = us if last is None else max(last, us)
+            out.append((ok, left, wait))
+        frame[["allowed", "remaining", "retry_after"]] = pd.DataFrame(out)
+        yield frame
         state.update((tokens, last))
-        due = int(last * 1000) + idle.get(key[1], idle["default"])
-        state.setTimeoutTimestamp(max(due, state.getCurrentWatermarkMs() + 1))
+        if lateness is not None:
+            due = int(last / 1000) + idle.get(key[1], idle["default"])
+            state.setTimeoutTimestamp(max(due, state.getCurrentWatermarkMs() + 1))
 
     kinds = {f.name: f.dataType.simpleString() for f in requests.schema.fields}
     schema = ", ".join(f"{n} {kinds[n]}" for n in ("request_id", "user_id", "endpoint", "ts"))
-    return (
-        requests.withWatermark("ts", "10 minutes")
-        .groupBy("user_id", "endpoint")
-        .applyInPandasWithState(
-            update, f"{schema}, {_OUT}", "tokens double, last double", "append", "EventTimeTimeout"
-        )
+    timed = requests if lateness is None else requests.withWatermark("ts", lateness)
+    return timed.groupBy("user_id", "endpoint").applyInPandasWithState(
+        update,
+        f"{schema}, {_OUT}",
+        "tokens double, last double",
+        "append",
+        "NoTimeout" if lateness is None else "EventTimeTimeout",
     )

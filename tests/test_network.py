@@ -96,3 +96,13 @@ def test_url_safety(spark):
     assert got["http://mix.com/"][2] == "Resolved to private IP: 192.168.0.1"
     assert got["ftp://ok.com/"][2] == "Unsupported scheme: ftp:" and got["nope"][2] == "Invalid URL"
     assert not got["https://none.com/"][0]
+
+
+def test_cut_sitemap_keeps_its_leading_urls(spark, monkeypatch):
+    entries = "".join(f"<sm:url><sm:loc>https://e.com/{k}</sm:loc></sm:url>" for k in range(100))
+    text = f'<?xml version="1.0"?><sm:urlset xmlns:sm="x">{entries}</sm:urlset>'
+    docs = spark.createDataFrame([("https://e.com/s.xml", 200, text)], "doc_url string, status int, text string")
+    roots = spark.createDataFrame([("https://e.com/s.xml",)], "url string")
+    monkeypatch.setattr(sitemaps, "MAX_CHARS", len(text) // 2)
+    got = [r.url for r in sitemaps.sitemap_urls(sitemaps.sitemap_index_expand(docs, roots)).orderBy("pos").collect()]
+    assert 40 < len(got) < 50 and got == [f"https://e.com/{k}" for k in range(len(got))]

@@ -88,3 +88,37 @@ def test_streams(spark):
     assert {r.project_id: r.used for r in counts.collect()} == {"quiet": 1, "alive": 2, "late": 1}
     updates = beats.select(F.lit("t").alias("task_id"), F.lit("done").alias("status"), "ts")
     assert drain(liveness.fresh_updates(updates), "append").count() == 1
+
+
+def test_rate_limit_order_over_arrow_batches(spark):
+    """Ten thousand requests of one user in disorder, in Arrow batches of 50."""
+    rng = random.Random(9)
+    rows = [(k, "u", "x", at(rng.randrange(200_000) / 10)) for k in range(10_000)]
+    folder = work_path(spark, "requests")
+    spark.createDataFrame(rows, SCHEMA).coalesce(1).write.parquet(folder)
+    key = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    before = spark.conf.get(key)
+    spark.conf.set(key, "50")
+    try:
+        stream = rate_limit.rate_limit_stream(spark.readStream.schema(SCHEMA).parquet(folder))
+        out = work_path(spark, "answers")
+        liveness.write_batches(stream, out, work_path(spark, "cp")).awaitTermination()
+        got = {r.request_id: (r.allowed, r.remaining, r.retry_after) for r in spark.read.parquet(out).collect()}
+    finally:
+        spark.conf.set(key, before)
+    assert got == expected(rows, rate_limit.LIMITS)
+
+
+def test_late_rows_are_answered_and_counted(spark):
+    folder, out, checkpoint = (work_path(spark, n) for n in ("late", "late-out", "late-cp"))
+    counted, counted_cp = work_path(spark, "late-quota"), work_path(spark, "late-quota-cp")
+    for name, rows in enumerate(([(1, at(18_000))], [(2, at(0)), (3, at(18_001))])):
+        full = [(k, "u", "x", ts) for k, ts in rows]
+        spark.createDataFrame(full, SCHEMA).coalesce(1).write.mode("append").parquet(folder)
+        stream = spark.readStream.schema(SCHEMA).parquet(folder)
+        liveness.write_batches(rate_limit.rate_limit_stream(stream), out, checkpoint).awaitTermination()
+        runs = stream.select(F.col("user_id").alias("project_id"), F.col("ts").alias("created_at"))
+        liveness.write_batches(liveness.quota_stream(runs), counted, counted_cp, "update").awaitTermination()
+    answers = {r.request_id: r.allowed for r in spark.read.parquet(out).collect()}
+    assert answers == {1: True, 2: True, 3: True}
+    assert max(r.used for r in spark.read.parquet(counted).collect()) == 3
