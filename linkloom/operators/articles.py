@@ -29,6 +29,12 @@ _CONTENT = (
 )
 
 
+def tenant_key(*tables: DataFrame, name: str = "article_id") -> list[str]:
+    """The tenant and the id, as far as all tables name the tenant."""
+    named = all("project_id" in t.columns for t in tables)
+    return ["project_id", name] if named else [name]
+
+
 def last_by_seq(incoming: DataFrame, key: list[str]) -> DataFrame:
     """One row per key: the last by ``seq``, or any of several alike ones.
 
@@ -122,15 +128,16 @@ def change_scope(articles: DataFrame, last: DataFrame) -> DataFrame:
     ``last``: article_id and the hashes known then. An id without hashes counts
     as unchanged.
     """
+    key = tenant_key(articles, last)
     prev = last.select(
-        "article_id",
+        *key,
         F.col("body_hash").alias("_body"),
         F.col("title_hash").alias("_title"),
         F.lit(True).alias("_known"),
     )
     differs = (F.col("_body") != F.col("body_hash")) | (F.col("_title") != F.col("title_hash"))
     return (
-        articles.join(prev, "article_id", "left")
+        articles.join(prev, key, "left")
         .withColumn(
             "change",
             F.when(F.col("_known").isNull(), "new")
@@ -190,8 +197,9 @@ def delete_cascade(
 
 def embedding_cache_split(articles: DataFrame, hashes: DataFrame, model: str) -> DataFrame:
     """Adds ``cached``: vector present, same model, both hashes still current."""
+    key = tenant_key(articles, hashes)
     now = hashes.select(
-        "article_id",
+        *key,
         F.col("body_hash").alias("_body"),
         F.col("title_hash").alias("_title"),
     )
@@ -202,7 +210,7 @@ def embedding_cache_split(articles: DataFrame, hashes: DataFrame, model: str) ->
         & (F.col("title_hash") == F.col("_title"))
     )
     return (
-        articles.join(now, "article_id", "left")
+        articles.join(now, key, "left")
         .withColumn("cached", F.coalesce(hit, F.lit(False)))
         .drop("_body", "_title")
     )
@@ -253,9 +261,10 @@ def embed_missing(
 
 def persist_embeddings(articles: DataFrame, vectors: DataFrame, model: str) -> DataFrame:
     """Article snapshot with new vectors filled in."""
-    new = vectors.select("article_id", F.col("embedding").alias("_vector"))
+    key = tenant_key(articles, vectors)
+    new = vectors.select(*key, F.col("embedding").alias("_vector"))
     return (
-        articles.join(new, "article_id", "left")
+        articles.join(new, key, "left")
         .withColumns(
             {
                 "embedding": F.coalesce("_vector", "embedding"),

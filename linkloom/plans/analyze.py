@@ -38,11 +38,16 @@ def stored_recs(ranked: DataFrame, run_id: str, now: Column) -> DataFrame:
     )
 
 
+def cached_vectors(articles: DataFrame, model: str) -> DataFrame:
+    """Adds ``cached``: a vector of that model is stored. A snapshot's hashes are
+    the current ones (an overwrite clears the vector), so nothing is compared."""
+    stored = F.col("embedding").isNotNull() & (F.col("embedding_model") == model)
+    return articles.withColumn("cached", F.coalesce(stored, F.lit(False)))
+
+
 def dry_run(articles: DataFrame, model: str) -> DataFrame:
     """Cache counts and cost per project; nothing is written."""
-    flagged = articles.withColumn("has_embedding", F.col("embedding").isNotNull())
-    hashes = articles.select("article_id", "body_hash", "title_hash")
-    return reports.embedding_estimate(art.embedding_cache_split(flagged, hashes, model))
+    return reports.embedding_estimate(cached_vectors(articles, model))
 
 
 def reanalysis_scope(articles: DataFrame, last: DataFrame, recs: DataFrame) -> dict[str, DataFrame]:
@@ -62,9 +67,7 @@ def embed_step(
     batch_size: int,
 ) -> tuple[DataFrame, DataFrame]:
     """(articles with vectors, project_id/cached rows of what was done)."""
-    flagged = articles.withColumn("has_embedding", F.col("embedding").isNotNull())
-    hashes = articles.select("article_id", "body_hash", "title_hash")
-    split = art.embedding_cache_split(flagged, hashes, model or "")
+    split = cached_vectors(articles, model or "")
     done = split.filter(F.col("cached"))
     if embed is not None:
         todo = art.skip_empty_content(split.filter(~F.col("cached")))
