@@ -73,9 +73,8 @@ def csv_lines(recs: DataFrame, articles: DataFrame) -> DataFrame:
     return joined.orderBy(*_order()).select(csv_line(joined).alias("value"))
 
 
-def export_csv(recs: DataFrame, articles: DataFrame, path: str, cap: int = EXPORT_CAP) -> None:
-    """One CSV file with BOM and header; refused above ``cap`` rows."""
-    _guarded(recs, cap)
+def _csv_file(recs: DataFrame, articles: DataFrame) -> DataFrame:
+    """Lines with the columns that order them, the header line first."""
     joined = recs_with_articles(recs, articles)
     rows = joined.select(
         F.lit(1).alias("_part"),
@@ -91,9 +90,15 @@ def export_csv(recs: DataFrame, articles: DataFrame, path: str, cap: int = EXPOR
         F.lit("").alias("_id"),
         F.lit(BOM + CSV_HEADER).alias("value"),
     )
+    return header.unionByName(rows)
+
+
+def export_csv(recs: DataFrame, articles: DataFrame, path: str, cap: int = EXPORT_CAP) -> None:
+    """One CSV file with BOM and header; refused above ``cap`` rows."""
+    _guarded(recs, cap)
     # At most cap + 1 rows: a single file is safe here.
     (
-        header.unionByName(rows)
+        _csv_file(recs, articles)
         .repartition(1)
         .sortWithinPartitions("_part", "_w", "_c", "_id")
         .select("value")
@@ -101,6 +106,12 @@ def export_csv(recs: DataFrame, articles: DataFrame, path: str, cap: int = EXPOR
     )
 
 
+def export_csv_parts(recs: DataFrame, articles: DataFrame, path: str) -> None:
+    """The same report of any length as part files: joined in the order of their
+    names they are the single file (one BOM and header, at the start)."""
+    _csv_file(recs, articles).orderBy("_part", "_w", "_c", "_id").select("value").write.text(path)
+
+
 def export_rows(recs: DataFrame, articles: DataFrame) -> DataFrame:
     """The fifteen fields of the JSON report."""
     return recs_with_articles(recs, articles).select(
@@ -140,3 +151,10 @@ def export_json(recs: DataFrame, articles: DataFrame, path: str, cap: int = EXPO
             {"pretty": "true", "ignoreNullFields": "false"},
         ).alias("value")
     ).coalesce(1).write.text(path)
+
+
+def export_json_parts(recs: DataFrame, articles: DataFrame, path: str) -> None:
+    """The same report of any length: part files of one JSON object a line, in order."""
+    rows = export_rows(recs, articles)
+    order = [scoring.export_weight(F.col("severity")), F.col("confidence").desc(), F.col("id")]
+    rows.orderBy(*order).write.option("ignoreNullFields", "false").json(path)

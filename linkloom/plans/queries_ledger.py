@@ -581,7 +581,10 @@ def _s_quote(x: str) -> str:
       "AS value FROM recs LEFT JOIN custs s ON s.article_id = source_id LEFT JOIN custs t ON t.article_id = target_id"),
 )
 def _csv(spark, sf):
-    return export.csv_lines(i.order_recs(spark, sf), i.customer_articles(spark, sf))
+    """The report's files read back, without their header."""
+    path = work_path(spark, "export-csv")
+    export.export_csv_parts(i.order_recs(spark, sf), i.customer_articles(spark, sf), path)
+    return spark.read.text(path).filter(~F.col("value").endswith(export.CSV_HEADER))
 
 
 @query(
@@ -591,7 +594,11 @@ def _csv(spark, sf):
       "s.article_id = source_id LEFT JOIN custs t ON t.article_id = target_id"),
 )
 def _json(spark, sf):
-    return export.export_rows(i.order_recs(spark, sf), i.customer_articles(spark, sf)).select(
+    """The report's files read back."""
+    path = work_path(spark, "export-json")
+    rows = export.export_rows(i.order_recs(spark, sf), i.customer_articles(spark, sf))
+    export.export_json_parts(i.order_recs(spark, sf), i.customer_articles(spark, sf), path)
+    return spark.read.schema(rows.schema).json(path).select(
         "id", "sourceTitle", "targetUrl", "anchorText", "severity", "confidence", "title"
     )
 
@@ -601,13 +608,13 @@ def _json(spark, sf):
     w("recs custs", "SELECT rec_id FROM recs WHERE severity = 'critical' AND status = 'accepted'"),
 )
 def _export(spark, sf):
-    """The capped export itself: written as one CSV file and read back."""
+    """A filtered report of any length: written as part files and read back."""
     path = work_path(spark, "export")
     recs = review.rec_filter(i.order_recs(spark, sf), "critical", "accepted")
-    # The cap scales with the table here, so that the whole report is written.
-    export.export_csv(recs, i.customer_articles(spark, sf), path, cap=1_000_000_000)
-    lines = spark.read.option("header", True).option("escape", '"').option("multiLine", True).csv(path)
-    return lines.select(F.col("recommendation_id").alias("rec_id"))
+    export.export_csv_parts(recs, i.customer_articles(spark, sf), path)
+    names = export.CSV_HEADER.split(",")
+    lines = spark.read.schema(", ".join(f"{n} string" for n in names)).option("escape", '"').option("multiLine", True).csv(path)
+    return lines.select(F.col("recommendation_id").alias("rec_id")).filter(F.col("rec_id") != "recommendation_id")
 
 
 # --- streams --------------------------------------------------------------------------------------
