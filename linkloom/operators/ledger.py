@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from linkloom.functions import scoring
 from linkloom.functions import urls
+from linkloom.schemas import JOBS, TASKS, conform
 
 # --- fixed values -----------------------------------------------------------
 ZOMBIE_MESSAGE = "Zombie recovery: processing timeout exceeded"
@@ -24,6 +25,35 @@ def distinct_urls(found: DataFrame) -> DataFrame:
     return found.select(*keys, urls.normalize_crawl_url(F.col("url")).alias("url")).distinct()
 
 
+def create_jobs(
+    found: DataFrame, batch: str, preset: str, now: Column
+) -> tuple[DataFrame, DataFrame]:
+    """One pending job for each project of ``found`` (project_id, url), and one
+    pending task for each of its normalised URLs. Ids follow from project,
+    ``batch`` and URL, so building them again gives the same rows."""
+    tasks = distinct_urls(found.select("project_id", "url").filter(F.col("url").isNotNull()))
+    job_id = F.sha2(F.concat_ws("\n", "project_id", F.lit(batch)), 256)
+    tasks = tasks.withColumn("job_id", job_id)
+    jobs = tasks.groupBy("project_id", "job_id").agg(F.count("*").alias("total_urls"))
+    jobs = jobs.withColumns(
+        {
+            "status": F.lit("pending"),
+            "completed_urls": F.lit(0),
+            "failed_urls": F.lit(0),
+            "preset": F.lit(preset),
+            "created_at": now,
+        }
+    )
+    tasks = tasks.withColumns(
+        {
+            "task_id": F.sha2(F.concat_ws("\n", "job_id", "url"), 256),
+            "status": F.lit("pending"),
+            "retry_count": F.lit(0),
+        }
+    )
+    return conform(jobs, JOBS), conform(tasks, TASKS)
+
+
 def fail_transition(tasks: DataFrame, failures: DataFrame, now: Column) -> DataFrame:
     """Tasks after failures (task_id, error_message, is_transient).
 

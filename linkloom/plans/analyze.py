@@ -89,13 +89,15 @@ def analyze(
     batch_size: int = 512,
     last: DataFrame | None = None,
     now: Column | None = None,
+    latest_runs: Callable[[], DataFrame] | None = None,
 ) -> dict[str, DataFrame]:
     """Next snapshots of articles, recs and runs.
 
     ``tables``: articles, recs, runs. With ``last`` (the hashes of the previous
     run) only new and changed articles are analysed as sources. An error marks
     the run failed and leaves the other tables as they were; strategies fail
-    one by one.
+    one by one. ``latest_runs`` reads the stored runs again before the end: a
+    run that was cancelled or ended by someone else meanwhile keeps that state.
     """
     now = F.current_timestamp() if now is None else now
     runs, recs = tables["runs"], tables["recs"]
@@ -137,12 +139,14 @@ def analyze(
                 ),
             }
         ).select(runs.columns)
-        return {
-            **tables,
-            "articles": others.unionByName(own),
-            "recs": stored,
-            "runs": cut_lineage(runs.filter(~mine).unionByName(finished), "runs"),
-        }
+        after = {"articles": others.unionByName(own), "recs": stored}
+        if latest_runs is not None:
+            found_runs = latest_runs()
+            stands = found_runs.filter(mine).select("status").first()
+            if stands is None or stands.status not in ("pending", "running"):
+                return {**tables, **after, "runs": found_runs}
+        written = cut_lineage(runs.filter(~mine).unionByName(finished), "runs")
+        return {**tables, **after, "runs": written}
     except Exception as error:  # noqa: BLE001 - the run records it
         log.warning("run %s failed: %s", run_id, error)
         failed = runs.withColumns(

@@ -586,6 +586,22 @@ def _distinct_urls(spark, sf):
     return ledger.distinct_urls(i.event_tasks(spark, sf).select("job_id", "url"))
 
 
+_JOB_URL = "regexp_replace(url, '([^/])/([?#]|$)', '\\1\\2')"
+
+
+@query(
+    "create_jobs",
+    "SELECT project_id, count(DISTINCT url) AS total_urls, count(DISTINCT url) AS tasks, 'pending' AS status FROM "
+    f"(SELECT (page_id % 7)::VARCHAR AS project_id, {_JOB_URL} AS url FROM pages) GROUP BY project_id",
+)
+def _create_jobs(spark, sf):
+    """A job for each of seven projects that the pages are dealt to, joined to its tasks."""
+    found = i.table(spark, sf, "pages").select((F.col("page_id") % 7).cast("string").alias("project_id"), "url")
+    jobs, tasks = ledger.create_jobs(found.union(found), "b1", "gentle", i.at("2024-02-01"))
+    counted = tasks.groupBy("job_id").agg(F.count_distinct("task_id").alias("tasks"))
+    return jobs.join(counted, "job_id").select("project_id", "total_urls", "tasks", "status")
+
+
 @query("distinct_raw", "SELECT DISTINCT regexp_replace(url, '([^/])/([?#]|$)', '\\1\\2') AS url FROM pages")
 def _distinct_raw(spark, sf):
     return ledger.distinct_urls(i.table(spark, sf, "pages").select("url"))

@@ -350,6 +350,10 @@ def test_analyze(spark):
     assert (run.status, run.article_count, run.embeddings_cached, run.embeddings_generated) == ("completed", 2, 0, 2)
     assert run.recommendation_count == len(stored) - 1
     assert out["articles"].filter("embedding is null").count() == 0
+    # A run cancelled meanwhile stays cancelled.
+    cancelled = runs.withColumn("status", F.lit("cancelled"))
+    ended = analyze(tables, "r1", "p", default_registry(), {"fuzzy_plan": "none"}, now=now(), latest_runs=lambda: cancelled)
+    assert ended["runs"].filter("run_id = 'r1'").first().status == "cancelled"
     # A finished run is left alone; an error marks the run and nothing else.
     assert analyze(out, "r1", "p", default_registry()) == out
     broken = analyze(tables, "r1", "p", default_registry(), embed=lambda ts: [], model="m", now=now())
@@ -377,3 +381,11 @@ def test_partitioned_report_equals_the_single_file(spark, tmp_path):
     assert len(rows) == recs.count()
     keys = [({"critical": 0, "warning": 1, "info": 2}[r["severity"]], -r["confidence"], r["id"]) for r in rows]
     assert keys == sorted(keys)
+
+
+def test_filter_arguments(spark):
+    rows = recs(spark, [("1", "x", "y", "info", 0.1, "k", "pending", "r0")])
+    assert review.rec_filter(rows, output="csv", limit=100).count() == 1
+    for bad in ({"output": "xml"}, {"limit": 0}, {"limit": 101}, {"severity": "high"}):
+        with pytest.raises(ValueError):
+            review.rec_filter(rows, **bad)
