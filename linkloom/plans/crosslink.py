@@ -122,7 +122,7 @@ def keyword_pairs(
     phrases = matching.distinct_phrases(targets)
     exact = matching.phrase_hits(bodies, phrases).withColumn("confidence", F.lit(1.0))
     if plan != "none":
-        near = fuzzy.fuzzy_hits(bodies, phrases, exact, threshold, plan)
+        near = fuzzy.fuzzy_hits(bodies, phrases, None, threshold)
         exact = exact.unionByName(near)
     return matching.keyword_budget(exact, sources, targets, max_new)
 

@@ -204,7 +204,7 @@ def _best_window(spark, sf):
     """Best fuzzy window per distinct body and phrase."""
     sources, targets = _page_sides(spark, sf)
     bodies, phrases = matching.distinct_bodies(sources), matching.distinct_phrases(targets)
-    return fuzzy.fuzzy_hits(bodies, phrases, matching.phrase_hits(bodies, phrases)).select(
+    return fuzzy.fuzzy_hits(bodies, phrases).select(
         "project_id", "body_id", "phrase", "offset", F.round("confidence", 9).alias("confidence")
     )
 

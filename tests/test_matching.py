@@ -150,15 +150,16 @@ def test_exact_blocking_is_lossless(spark):
     assert got == want
 
 
-def test_broadcast_bound(spark):
+def test_phrase_blocks_change_no_row(spark, data_dir):
+    from linkloom.plans.queries_links import _page_sides
+
     b = spark.createDataFrame([("p", "1", "one two three")], "project_id string, body_id string, body string")
     p = spark.createDataFrame([("p", "one two thres"), ("p", "one twx three")], "project_id string, phrase string")
-    none = matching.phrase_hits(b, p)
-    with pytest.raises(ValueError, match="too many"):
-        fuzzy.fuzzy_hits(b, p, none, plan="broadcast", max_phrases=1)
-    # Beyond the bound the join plan gives the same rows.
-    small = fuzzy.fuzzy_hits(b, p, none, 0.7, max_phrases=1).collect()
-    assert sorted(small) == sorted(fuzzy.fuzzy_hits(b, p, none, 0.7).collect()) and len(small) == 2
+    assert fuzzy.fuzzy_hits(b, p, None, 0.7, block_phrases=1).count() == 2
+    sources, targets = _page_sides(spark, data_dir)
+    bodies, phrases = matching.distinct_bodies(sources), matching.distinct_phrases(targets)
+    whole = sorted(fuzzy.fuzzy_hits(bodies, phrases, None, 0.5).collect())
+    assert sorted(fuzzy.fuzzy_hits(bodies, phrases, None, 0.5, block_phrases=7).collect()) == whole and whole
 
 
 def test_limit_per_key_two_passes(spark):
