@@ -12,7 +12,9 @@ import re
 from collections import Counter
 from dataclasses import dataclass
 
+import numpy as np
 import pyarrow as pa
+import zstandard
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -28,9 +30,13 @@ MAX_PIECES = 1_000_000
 #: many texts. Any choice is right, since all others take the join.
 HEAD_UNITS, HEAD_TEXTS = 300_000, 20_000
 HEAD_CHARS = 40
-#: Texts of one block, for which a dictionary of the other units is gathered.
-BLOCK_TEXTS = 2_000
+HEAD_PARTS = 48
+#: Texts of one block, for which a dictionary of the other units is gathered, and
+#: texts whose other units one task of the lattice should get.
+BLOCK_TEXTS, LATTICE_TEXTS = 5_000, 1_000
 CHUNK = 256
+#: Longest unit for the short form of the fold.
+SHORT = 48
 
 
 @dataclass(frozen=True)
@@ -122,6 +128,35 @@ def edges_of(units: DataFrame, vocabulary: Vocabulary) -> DataFrame:
     return joined.select("unit", *others, edge.alias("edge"))
 
 
+def _walk_back(steps: Column) -> Column:
+    """Ids of the path that ends with the last of ``steps`` (f: from, i: id)."""
+    start = F.struct(F.size(steps).alias("at"), F.array().cast("array<int>").alias("ids"))
+
+    def walked(a: Column, _: Column) -> Column:
+        step = F.element_at(steps, a["at"])
+        taken = F.struct(step["f"].alias("at"), F.concat(a["ids"], F.array(step["i"])).alias("ids"))
+        return F.when(a["at"] > 0, taken).otherwise(a)
+
+    return F.reverse(F.aggregate(steps, start, walked)["ids"])
+
+
+def short_path(edges: Column) -> Column:
+    """:func:`best_path` with one array of kept edges: least work for a short unit."""
+    first = F.array(F.struct(F.lit(0.0).alias("s"), F.lit(0).alias("f"), F.lit(0).alias("i")))
+
+    def visit(a: Column, x: Column) -> Column:
+        score = F.get(a, x["from"])["s"] + x["score"]
+        kept = F.array(F.struct(score.alias("s"), x["from"].alias("f"), x["id"].alias("i")))
+        return (
+            F.when(F.size(a) == x["to"], F.concat(a, kept))
+            .when(score > F.get(a, x["to"])["s"], F.concat(F.slice(a, F.lit(1), x["to"]), kept))
+            .otherwise(a)
+        )
+
+    done = F.aggregate(F.array_sort(edges), first, visit)
+    return let(done, lambda a: _walk_back(F.slice(a, F.lit(2), F.size(a))))
+
+
 def best_path(edges: Column, longest: int) -> Column:
     """Ids of the best path over all ``edges`` of a unit.
 
@@ -171,18 +206,9 @@ def best_path(edges: Column, longest: int) -> Column:
 
         return let(F.when(x["to"] > a["e"], pushed(a, x["to"])).otherwise(a), tried)
 
-    def back(steps: Column) -> Column:
-        walk = F.struct(F.size(steps).alias("at"), F.array().cast("array<int>").alias("ids"))
-
-        def walked(a: Column, _: Column) -> Column:
-            taken = let(F.element_at(steps, a["at"]), lambda t: F.struct(t["f"].alias("at"), F.concat(a["ids"], F.array(t["i"])).alias("ids")))
-            return F.when(a["at"] > 0, taken).otherwise(a)
-
-        return F.reverse(F.aggregate(steps, walk, lambda a, x: walked(a, x))["ids"])
-
     done = F.aggregate(F.array_sort(edges), state, visit)
     return let(
-        done, lambda a: let(F.concat(F.flatten(a["parts"]), a["part"], F.array(a["step"])), back)
+        done, lambda a: let(F.concat(F.flatten(a["parts"]), a["part"], F.array(a["step"])), _walk_back)
     )
 
 
@@ -192,60 +218,110 @@ def encoded_units(units: DataFrame, vocabulary: Vocabulary) -> DataFrame:
     Both groupings are by unit, so the lattice needs no shuffle of its own.
     """
     grouped = edges_of(units, vocabulary).groupBy("unit").agg(F.first("blocks").alias("blocks"), F.collect_list("edge").alias("edges"))
-    return grouped.select("unit", "blocks", best_path(F.col("edges"), vocabulary.longest).alias("ids"))
+    path = F.when(F.length("unit") <= SHORT, short_path(F.col("edges"))).otherwise(best_path(F.col("edges"), vocabulary.longest))
+    return grouped.select("unit", "blocks", path.alias("ids"))
 
 
-def _unit_sets(vocabulary: Vocabulary, head=None):
-    """Distinct units of each batch's texts that ``head`` lacks, by block."""
+def _units_of(vocabulary: Vocabulary):
     pattern = re.compile(UNIT)
+    return lambda text: pattern.findall(vocabulary.prepared(text))
+
+
+def _other_units(vocabulary: Vocabulary, known):
+    """Distinct units of a partition's texts that ``known`` lacks, by block."""
 
     def run(batches):
-        known = head.value if head is not None else {}
+        units, have = _units_of(vocabulary), known.value
+        found: dict[int, set] = {}
         for batch in batches:
-            found: dict[int, set] = {}
             for block, text in zip(batch.column("block").to_pylist(), batch.column("text").to_pylist(), strict=True):
-                found.setdefault(block, set()).update(u for u in pattern.findall(vocabulary.prepared(text)) if u not in known)
-            blocks = [b for b, units in found.items() for _ in units]
-            yield pa.RecordBatch.from_arrays(
-                [pa.array(blocks, pa.int32()), pa.array([u for units in found.values() for u in units], pa.string())],
-                names=["block", "unit"],
-            )
+                found.setdefault(block, set()).update(u for u in {*units(text)} if u not in have)
+            if sum(map(len, found.values())) > 500_000:
+                yield _pairs(found)
+                found = {}
+        yield _pairs(found)
 
     return run
 
 
+def _pairs(found: dict[int, set]) -> pa.RecordBatch:
+    blocks = [b for b, units in found.items() for _ in units]
+    units = [u for own in found.values() for u in sorted(own)]  # neighbours compress well
+    return pa.RecordBatch.from_arrays([pa.array(blocks, pa.int32()), pa.array(units, pa.string())], names=["block", "unit"])
+
+
+def _packed(vocabulary: Vocabulary, known):
+    """Each text as numbers of known units, with -1 for others, and the others."""
+
+    def run(batches):
+        units, press = _units_of(vocabulary), zstandard.ZstdCompressor(level=3).compress
+        number = known.value.get
+        for batch in batches:
+            numbers, others = [], []
+            for text in batch.column("text").to_pylist():
+                own = units(text)
+                row = [number(u, -1) for u in own]
+                numbers.append(press(np.array(row, dtype=np.int32).tobytes()))
+                # No unit holds a space: spaces are written as the space piece.
+                others.append(press(" ".join(u for u, k in zip(own, row, strict=True) if k < 0).encode("utf-8", "surrogatepass")))
+            arrays = [batch.column("row"), batch.column("block"), pa.array(numbers, pa.binary()), pa.array(others, pa.binary())]
+            yield pa.RecordBatch.from_arrays(arrays, names=["row", "block", "numbers", "others"])
+
+    return run
+
+
+def _bundled(batches):
+    """Rows (block, unit, ids) of a partition as one compressed row for each block."""
+    press = zstandard.ZstdCompressor(level=3).compress
+    found: dict[int, list] = {}
+    for batch in batches:
+        for block, unit, ids in zip(batch.column("block").to_pylist(), batch.column("unit").to_pylist(), batch.column("ids").to_pylist(), strict=True):
+            found.setdefault(block, []).append((unit, ids))
+    names = ["block", "units", "sizes", "ids"]
+    rows: list[list] = [[], [], [], []]
+    for block, pairs in found.items():
+        pairs.sort()
+        rows[0].append(block)
+        rows[1].append(press(" ".join(u for u, _ in pairs).encode("utf-8", "surrogatepass")))
+        rows[2].append(press(np.array([len(i) for _, i in pairs], dtype=np.int32).tobytes()))
+        rows[3].append(press(np.array([x for _, i in pairs for x in i], dtype=np.int32).tobytes()))
+    kinds = [pa.int32(), pa.binary(), pa.binary(), pa.binary()]
+    yield pa.RecordBatch.from_arrays([pa.array(r, k) for r, k in zip(rows, kinds, strict=True)], names=names)
+
+
 def _unit_counts(vocabulary: Vocabulary):
-    pattern = re.compile(UNIT)
+    """Short units that a partition repeats, with their counts."""
 
     def run(batches):
+        units = _units_of(vocabulary)
         counts: Counter = Counter()
         for batch in batches:
             for text in batch.column("text").to_pylist():
-                counts.update(u for u in pattern.findall(vocabulary.prepared(text)) if len(u) <= HEAD_CHARS)
-        yield pa.RecordBatch.from_arrays([pa.array(list(counts), pa.string()), pa.array(list(counts.values()), pa.int64())], names=["unit", "n"])
+                counts.update(u for u in units(text) if len(u) <= HEAD_CHARS)
+        often = {u: n for u, n in counts.items() if n > 1}
+        yield pa.RecordBatch.from_arrays([pa.array(list(often), pa.string()), pa.array(list(often.values()), pa.int64())], names=["unit", "n"])
 
     return run
 
 
-def frequent_units(docs: DataFrame, vocabulary: Vocabulary, rows: int) -> dict[str, list[int]]:
-    """Encodings of at most ``HEAD_UNITS`` short units that a sample of texts repeats."""
+def frequent_units(docs: DataFrame, vocabulary: Vocabulary, rows: int) -> list[tuple[str, list[int]]]:
+    """At most ``HEAD_UNITS`` short units that a sample of texts repeats, encoded."""
     every = max(1, rows // HEAD_TEXTS)
     sample = docs.where(F.pmod(F.xxhash64("text"), F.lit(every)) == 0).select("text")
     counts = sample.mapInArrow(_unit_counts(vocabulary), "unit string, n long").groupBy("unit").agg(F.sum("n").alias("n"))
-    top = counts.where("n > 1").orderBy(F.desc("n"), "unit").limit(HEAD_UNITS).select("unit")
-    marked = top.groupBy("unit").agg(F.lit(None).cast("array<int>").alias("blocks"))
-    got = encoded_units(marked, vocabulary).select("unit", "ids").toArrow()
-    return {u: vocabulary.expand(i) for u, i in zip(got.column("unit").to_pylist(), got.column("ids").to_pylist(), strict=True)}
+    top = counts.orderBy(F.desc("n"), "unit").limit(HEAD_UNITS).select("unit", F.lit(None).cast("array<int>").alias("blocks"))
+    got = encoded_units(top.repartition(HEAD_PARTS, "unit"), vocabulary).select("unit", "ids").toArrow()
+    return [(u, vocabulary.expand(i)) for u, i in zip(got.column("unit").to_pylist(), got.column("ids").to_pylist(), strict=True)]
 
 
 def encode(docs: DataFrame, vocabulary: Vocabulary, carry: list[str]) -> DataFrame:
     """``row`` (the carried columns) and ``ids`` for every row of ``docs``.
 
     Frequent units are known to every worker (a bounded dictionary, itself made by
-    the lattice). All others are collected for blocks of texts, encoded once,
-    and sent back to the blocks that hold them, where texts and encodings meet.
-    Rows fall into blocks by their columns' hash, so a text that many rows copy is
-    spread. Null and empty texts have no ids.
+    the lattice). All others are collected for blocks of texts, encoded once, and
+    sent back to the blocks that hold them. Texts travel to their blocks as
+    numbers of known units. Rows fall into blocks by their columns' hash, so a
+    text that many rows copy is spread. Null and empty texts have no ids.
     """
     spark = docs.sparkSession
     small_batches(spark)
@@ -253,24 +329,40 @@ def encode(docs: DataFrame, vocabulary: Vocabulary, carry: list[str]) -> DataFra
     rows = given.count()
     blocks = max(1, -(-rows // BLOCK_TEXTS))
     given = given.withColumn("block", F.pmod(F.xxhash64("row", "text"), F.lit(blocks)).cast("int"))
-    head = spark.sparkContext.broadcast(frequent_units(given, vocabulary, rows))
-    tails = given.select("block", "text").mapInArrow(_unit_sets(vocabulary, head), "block int, unit string")
-    tails = tails.groupBy("unit").agg(F.collect_set("block").alias("blocks"))
-    sent = encoded_units(tails, vocabulary).select(F.explode("blocks").alias("block"), "unit", "ids")
-    pattern = re.compile(UNIT)
+    head = frequent_units(given, vocabulary, rows)
+    known = spark.sparkContext.broadcast({u: k for k, (u, _) in enumerate(head)})
+    known_ids = spark.sparkContext.broadcast([np.array(i, dtype=np.int32) for _, i in head])
+    parts = max(int(spark.conf.get("spark.sql.shuffle.partitions")), rows // LATTICE_TEXTS)
+    others = given.select("block", "text").mapInArrow(_other_units(vocabulary, known), "block int, unit string")
+    others = others.repartition(parts, "unit").groupBy("unit").agg(F.collect_set("block").alias("blocks"))
+    sent = (
+        encoded_units(others, vocabulary)
+        .select(F.explode("blocks").alias("block"), "unit", "ids")
+        .mapInArrow(_bundled, "block int, units binary, sizes binary, ids binary")
+    )
+    kind = given.schema["row"].dataType.simpleString()
+    packed = given.mapInArrow(_packed(vocabulary, known), f"row {kind}, block int, numbers binary, others binary")
 
     def assemble(left: pa.Table, right: pa.Table) -> pa.Table:
-        own = {u: vocabulary.expand(i) for u, i in zip(right.column("unit").to_pylist(), right.column("ids").to_pylist(), strict=True)}
-        known, out = head.value, []
-        for text in left.column("text").to_pylist():
-            ids: list[int] = []
-            for u in pattern.findall(vocabulary.prepared(text)):
-                ids += known[u] if u in known else own[u]
-            out.append(ids)
-        return pa.table({"row": left.column("row"), "ids": pa.array(out, pa.list_(pa.int32()))})
-
-    kind = given.schema["row"].dataType.simpleString()
-    return given.groupBy("block").cogroup(sent.groupBy("block")).applyInArrow(assemble, f"row {kind}, ids array<int>")
+        unpress = zstandard.ZstdDecompressor().decompress
+        own: dict[str, np.ndarray] = {}
+        for units, sizes, ids in zip(*[right.column(c).to_pylist() for c in ("units", "sizes", "ids")], strict=True):
+            ends = np.cumsum(np.frombuffer(unpress(sizes), dtype=np.int32))
+            flat = np.frombuffer(unpress(ids), dtype=np.int32)
+            for u, part in zip(unpress(units).decode("utf-8", "surrogatepass").split(" "), np.split(flat, ends[:-1]), strict=True):
+                own[u] = np.array(vocabulary.expand(part.tolist()), dtype=np.int32)
+        heads, out, total = known_ids.value, [], [0]
+        for numbers, rest in zip(left.column("numbers").to_pylist(), left.column("others").to_pylist(), strict=True):
+            spelt = iter(unpress(rest).decode("utf-8", "surrogatepass").split(" "))
+            row = np.frombuffer(unpress(numbers), dtype=np.int32).tolist()
+            made = [heads[k] if k >= 0 else own[next(spelt)] for k in row]
+            out += made
+            total.append(total[-1] + sum(map(len, made)))
+        flat = np.concatenate(out) if out else np.zeros(0, dtype=np.int32)
+        ids = pa.ListArray.from_arrays(pa.array(np.array(total, dtype=np.int32)), pa.array(flat))
+        return pa.table({"row": left.column("row"), "ids": ids})
+
+    return packed.groupBy("block").cogroup(sent.groupBy("block")).applyInArrow(assemble, f"row {kind}, ids array<int>")
 
 
 def decode(ids: Column, vocabulary: Vocabulary) -> Column:
