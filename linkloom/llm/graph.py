@@ -98,7 +98,9 @@ def link_within_groups(members: DataFrame, payloads: DataFrame, compare: Compare
     blocks in a second pass; two blocks of connected members never meet. So a
     group of copies costs one visit a member, and no link is lost.
     """
+    # Written, so that its join has two shuffled sides: Spark splits a hot group then.
     stats = members.groupBy("grp").agg(F.count("*").alias("n"), F.min("id").alias("c")).where("n > 1")
+    stats = cut_lineage(stats, f"{label}-stats")
     many = cut_lineage(members.join(stats, "grp"), f"{label}-members")
 
     def cut(n):

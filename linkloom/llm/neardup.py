@@ -193,7 +193,8 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
         "near-signed",
     )
     ids = signed.where("doc_id IS NOT NULL AND node IS NOT NULL")
-    copies = ids.groupBy("node").agg(F.min("doc_id").alias("rep"))
+    # Written, so that its join below has two shuffled sides: Spark splits a hot one then.
+    copies = cut_lineage(ids.groupBy("node").agg(F.min("doc_id").alias("rep")), "near-copies")
     one = F.min_by(F.struct("doc_id", "bands", "sig"), "doc_id").alias("one")
     texts = cut_lineage(
         ids.where("bands IS NOT NULL")
