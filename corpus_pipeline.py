@@ -13,6 +13,9 @@ from linkloom.llm import contamination, line_dedup, neardup, pieces, repetition
 from linkloom.llm.base import table
 from linkloom.session import work_path
 
+#: Near copies share so much of their word shingles; op10 has its own threshold.
+NEAR_PERCENT = 80
+
 
 def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that the rules reject go."""
@@ -26,7 +29,7 @@ def lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def near(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One document of each group of near copies stays."""
-    return neardup.keep_one(docs)
+    return neardup.keep_one(docs, NEAR_PERCENT)
 
 
 def benchmark(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

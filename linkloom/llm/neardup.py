@@ -3,6 +3,8 @@
 from __future__ import annotations
 
 import hashlib
+import math
+from functools import partial
 
 import numpy as np
 import pyarrow as pa
@@ -17,9 +19,10 @@ from linkloom.session import cut_lineage
 SHINGLE = 5
 #: 24 bands of 5: a pair at similarity 0.85 misses all bands once in 1.3 million.
 BANDS, ROWS = 24, 5
-#: Signatures that agree in fewer slots are no candidates: at similarity 0.85 the
-#: agreement has mean 102 of 120 and deviation 3.9 at most.
-AGREE = 84
+#: Signatures that agree in fewer slots than so many deviations below the mean are
+#: no candidates: at similarity 0.85 the mean is 102 of 120, the deviation 3.9 at most.
+AGREE_DEVIATIONS = 4.6
+#: The query's threshold; stages of a pipeline name their own.
 LINK_PERCENT = 85
 _U = np.uint64
 _STEP = 0x9E3779B97F4A7C15
@@ -35,6 +38,20 @@ _SIGNED = pa.schema(
 )
 
 
+def rows_for(percent: int) -> int:
+    """Rows of a band: the most at which a pair at the threshold misses all bands
+    less than once in a million (5 at 85, 4 at 80)."""
+    slots = BANDS * ROWS
+    fit = [r for r in range(1, ROWS + 1) if slots % r == 0 and (1 - (percent / 100) ** r) ** (slots // r) < 1e-6]
+    return max(fit, default=1)
+
+
+def agree_for(percent: int) -> int:
+    """Slots in which candidates agree at least (84 at 85, 75 at 80)."""
+    slots, share = BANDS * ROWS, percent / 100
+    return max(1, math.floor(slots * share - AGREE_DEVIATIONS * math.sqrt(slots * share * (1 - share))))
+
+
 def shingle_hashes(words: np.ndarray, k: int = SHINGLE) -> np.ndarray:
     """Distinct hashes of k-word windows; of the whole when there are fewer words."""
     if not len(words):
@@ -82,15 +99,15 @@ def super_minhash(elements: np.ndarray, slots: int = BANDS * ROWS) -> np.ndarray
     return best
 
 
-def band_keys(best: np.ndarray) -> np.ndarray:
-    grid = codes.mix(best).reshape(BANDS, ROWS)
-    key = codes.mix(np.arange(1, BANDS + 1, dtype=_U) * _U(_STEP))
-    for j in range(ROWS):
+def band_keys(best: np.ndarray, rows: int = ROWS) -> np.ndarray:
+    grid = codes.mix(best).reshape(-1, rows)
+    key = codes.mix(np.arange(1, len(grid) + 1, dtype=_U) * _U(_STEP))
+    for j in range(rows):
         key = codes.mix(key * _U(0x2545F4914F6CDD1D) + grid[:, j])
     return key.view(np.int64)
 
 
-def _sign(batch: pa.RecordBatch) -> pa.RecordBatch:
+def _sign(batch: pa.RecordBatch, rows: int) -> pa.RecordBatch:
     n_shingles, nodes, bands, sigs = [], [], [], []
     for text in batch.column("text").to_pylist():
         words = BLANK_WORD.findall(ascii_lower(text or ""))
@@ -110,7 +127,7 @@ def _sign(batch: pa.RecordBatch) -> pa.RecordBatch:
         elements = shingle_hashes(codes.word_hashes(codes.code_points(joined)))
         n_shingles.append(len(elements))
         best = super_minhash(elements)
-        bands.append(band_keys(best))
+        bands.append(band_keys(best, rows))
         sigs.append((codes.mix(best) & _U(0xFFFF)).astype(np.uint16).tobytes())
     arrays = [
         batch.column("doc_id").cast(pa.int64()),
@@ -122,17 +139,17 @@ def _sign(batch: pa.RecordBatch) -> pa.RecordBatch:
     return pa.RecordBatch.from_arrays(arrays, schema=_SIGNED)
 
 
-def _alike(signatures: list[bytes]) -> list[tuple[int, int]]:
+def _alike(signatures: list[bytes], agree: int) -> list[tuple[int, int]]:
     grid = np.frombuffer(b"".join(signatures), dtype=np.uint16).reshape(len(signatures), -1)
     out = []
     for i in range(len(grid) - 1):
-        near = np.flatnonzero((grid[i + 1 :] == grid[i]).sum(axis=1) >= AGREE)
+        near = np.flatnonzero((grid[i + 1 :] == grid[i]).sum(axis=1) >= agree)
         out += [(i, i + 1 + int(j)) for j in near]
     return out
 
 
-def exact_links(texts: list[str]) -> list[tuple[int, int]]:
-    """Pairs with 100 * intersection >= 85 * union, on full shingle sets.
+def exact_links(texts: list[str], percent: int = LINK_PERCENT) -> list[tuple[int, int]]:
+    """Pairs with 100 * intersection >= percent * union, on full shingle sets.
 
     Windows are numbered, not hashed (words, then pairs, fours and fives of
     words), so different windows never count as one.
@@ -168,13 +185,15 @@ def exact_links(texts: list[str]) -> list[tuple[int, int]]:
         grid[owner[a:b], gram[a:b] - low] = 1
         both += grid @ grid.T
     both = np.rint(both).astype(np.int64)
-    linked = (100 * both >= LINK_PERCENT * (n[:, None] + n[None, :] - both)) & (both > 0)
+    linked = (100 * both >= percent * (n[:, None] + n[None, :] - both)) & (both > 0)
     return [(int(i), int(j)) for i, j in zip(*np.nonzero(np.triu(linked, 1)), strict=True)]
 
 
-def near_duplicates(docs: DataFrame) -> DataFrame:
+def near_duplicates(docs: DataFrame, percent: int = LINK_PERCENT) -> DataFrame:
     """``(doc_id, n_shingles, component_id)``, one row for each row of ``docs``.
 
+    Texts whose shingle sets share ``percent`` of their union are linked.
+
     Needs ``doc_id`` and ``text``; other columns are not read. Rows that share a
     doc_id are one document with several texts. A null or blank text has no
     shingles and is linked with nothing; a null doc_id has component null, a row
@@ -189,7 +208,7 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
     small_batches(docs.sparkSession)
     own = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
     signed = cut_lineage(
-        own.mapInArrow(by_batch(_sign), "doc_id long, n_shingles long, node binary, bands array<long>, sig binary"),
+        own.mapInArrow(by_batch(partial(_sign, rows=rows_for(percent))), "doc_id long, n_shingles long, node binary, bands array<long>, sig binary"),
         "near-signed",
     )
     ids = signed.where("doc_id IS NOT NULL AND node IS NOT NULL")
@@ -204,7 +223,7 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
         "near-texts",
     )
     buckets = texts.select(F.explode("bands").alias("grp"), "id").distinct()
-    alike = link_within_groups(buckets, texts.select("id", "payload"), _alike, 512, "near-alike")
+    alike = link_within_groups(buckets, texts.select("id", "payload"), partial(_alike, agree=agree_for(percent)), 512, "near-alike")
     families = components(alike, "near-family").select(F.col("root").alias("grp"), "id")
     wanted = families.select(F.col("id").alias("doc_id"))
     bodies = cut_lineage(
@@ -213,7 +232,7 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
         .select(F.col("doc_id").alias("id"), F.col("text").alias("payload")),
         "near-bodies",
     )
-    links = link_within_groups(families, bodies, exact_links, 256, "near-exact")
+    links = link_within_groups(families, bodies, partial(exact_links, percent=percent), 256, "near-exact")
     # All documents of one text hang on its smallest id; ids with several texts join their groups.
     member = ids.join(copies, "node").select(F.col("doc_id").alias("a"), F.col("rep").alias("b")).where("a <> b")
     roots = components(links.select("a", "b").union(member.distinct()), "near-root")
@@ -224,13 +243,13 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
     )
 
 
-def keep_one(docs: DataFrame) -> DataFrame:
+def keep_one(docs: DataFrame, percent: int = LINK_PERCENT) -> DataFrame:
     """``docs`` with one document of each group: the one with the smallest id.
 
     All columns stay. Repeated rows of a kept document (same id and text) become
     one; rows without an id stay.
     """
-    spare = near_duplicates(docs).where("doc_id <> component_id").select("doc_id").distinct()
+    spare = near_duplicates(docs, percent).where("doc_id <> component_id").select("doc_id").distinct()
     stay = docs.where("doc_id IS NOT NULL").join(spare, "doc_id", "left_anti").dropDuplicates(["doc_id", "text"])
     return stay.select(docs.columns).union(docs.where("doc_id IS NULL"))
 
