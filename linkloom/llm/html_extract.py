@@ -23,7 +23,13 @@ ENDS = {"li": {"li"}, "dt": {"dt", "dd"}, "dd": {"dt", "dd"}, "tr": {"tr", "td",
 #: An end tag or an implied end doesn't reach beyond these.
 FENCES = {"article", "main", "body", "table", "td", "th", "div", "section", "ul", "ol", "dl", "blockquote", "html"}
 BODIES = {"article", "main"}
+#: Neighbours directly below ``body`` that make one region together.
+FLOW = {"p", "h1", "h2", "h3", "h4", "h5", "h6", "hgroup", "blockquote", "pre", "hr"}
 SIGMA = 1.5
+#: An ``article`` or ``main`` counts as so many times as dense as it is.
+BODY_WEIGHT = 2
+#: Clusters of regions whose (geometric) means lie closer than this are one cluster.
+APART = 4
 
 
 def _marked(tag: str, attrs: list, inside: bool) -> bool:
@@ -46,7 +52,8 @@ class _Lines(HTMLParser):
     """Lines of a page: text of one block, tags it took, and its region.
 
     A region is an outermost ``article`` or ``main``, or else the element below
-    ``body`` that a line stands in.
+    ``body`` that a line stands in. Paragraphs, headings and loose text that
+    follow each other directly below ``body`` are one region; 0 stands for none.
     """
 
     def __init__(self) -> None:
@@ -55,16 +62,24 @@ class _Lines(HTMLParser):
         self.lines: list[tuple[str, int, int]] = []
         self.bodies: set[int] = set()
         self.regions = 0
+        self.flow = 0  # region of the paragraphs below body that are going on
         self.text: list[str] = []
         self.tags = 0
 
     def flush(self) -> None:
         text = " ".join("".join(self.text).split())
         if text:
-            self.lines.append((text, self.tags, self.open[-1][2] if self.open else 0))
+            region = self.open[-1][2] if self.open else 0
+            self.lines.append((text, self.tags, region or self._flowing()))
             self.tags = 0
         self.text = []
 
+    def _flowing(self) -> int:
+        if not self.flow:
+            self.regions += 1
+            self.flow = self.regions
+        return self.flow
+
     def _end(self, names: set[str]) -> None:
         """Close the nearest open element of ``names``, unless a fence is nearer."""
         for k in range(len(self.open) - 1, -1, -1):
@@ -90,14 +105,20 @@ class _Lines(HTMLParser):
             return
         region = self.open[-1][2] if self.open else 0
         inside = region in self.bodies
+        out = out or _marked(tag, attrs, inside)
         if tag in BODIES and not inside and not out:
             self.regions += 1
             region = self.regions
             self.bodies.add(region)
-        elif tag in BLOCKS and not inside and (not self.open or self.open[-1][0] in ("body", "html")):
-            self.regions += 1
-            region = self.regions
-        self.open.append((tag, out or _marked(tag, attrs, inside), region))
+            self.flow = 0
+        elif tag in BLOCKS and not out and not region and tag not in ("html", "body"):
+            if tag in FLOW:
+                region = self._flowing()
+            else:
+                self.regions += 1
+                region = self.regions
+                self.flow = 0
+        self.open.append((tag, out, region))
 
     def handle_startendtag(self, tag: str, attrs: list) -> None:
         self.handle_starttag(tag, attrs)
@@ -150,14 +171,25 @@ def threshold(values: list[float]) -> float:
     return cut
 
 
+def upper(scores: dict[int, float]) -> set[int]:
+    """The keys of the upper cluster; all when the clusters are not clearly apart."""
+    cut = threshold(list(scores.values()))
+    over = [v for v in scores.values() if v >= cut]
+    under = [v for v in scores.values() if v < cut]
+    if not over or not under or sum(over) / len(over) - sum(under) / len(under) < math.log(APART):
+        return set(scores)
+    return {r for r, v in scores.items() if v >= cut}
+
+
 def main_text(html: str | None) -> str:
     """The article of a page as blocks joined by an empty line.
 
-    Lines' text-to-tag ratios are smoothed and parted into two clusters. A
-    region with at least half of its text in lines of the upper cluster is
-    content and gives all its lines, so short paragraphs of an article stay; an
-    ``article`` or ``main`` region is content by its name. Other regions are
-    dropped when the page has such one.
+    Text-to-tag ratios are smoothed over the lines of each region, so that no
+    neighbour lends a region its density; a region's score is the mean ratio
+    over its text times the root of its length, and ``article`` and ``main`` add
+    weight to it. The logarithms of the scores are parted into two clusters, and
+    the regions of the upper one give all their lines, so short paragraphs of an
+    article stay. Where the clusters are not clearly apart, nothing is dropped.
     """
     if not html:
         return ""
@@ -173,16 +205,15 @@ def main_text(html: str | None) -> str:
     lines = parser.lines
     if not lines:
         return ""
-    values = smoothed([len(text) / max(1, tags) for text, tags, _ in lines])
-    cut = threshold(values)
-    chosen = {r for _, _, r in lines if r in parser.bodies}
-    if not chosen:
-        size: dict[int, int] = {}
-        dense: dict[int, int] = {}
-        for (text, _, r), v in zip(lines, values, strict=True):
-            size[r] = size.get(r, 0) + len(text)
-            dense[r] = dense.get(r, 0) + (len(text) if v >= cut else 0)
-        chosen = {r for r in size if 2 * dense[r] >= size[r]}
+    regions: dict[int, list[tuple[int, float]]] = {}
+    for text, tags, r in lines:
+        regions.setdefault(r, []).append((len(text), len(text) / max(1, tags)))
+    scores = {}
+    for r, own in regions.items():
+        dense = sum(n * v for (n, _), v in zip(own, smoothed([x for _, x in own]), strict=True))
+        weight = BODY_WEIGHT if r in parser.bodies else 1
+        scores[r] = math.log(weight * dense / math.sqrt(sum(n for n, _ in own)))
+    chosen = upper(scores)
     return "\n\n".join(text for text, _, r in lines if r in chosen)
 
 

@@ -52,3 +52,35 @@ def test_rows(spark):
     got = h.extracted(pages, ["page_id", "text"]).collect()
     assert [(r.row.text, r.text) for r in got] == [(9, TEXT), (9, ""), (9, "")]
     assert h.extracted(pages.limit(0), ["page_id"]).count() == 0
+
+
+LONG = "a sentence of the article that is long enough to matter here, " * 5
+LINKS = "<div><ul>" + "".join(f"<li><a href={k}>link {k}</a></li>" for k in range(15)) + "</ul></div>"
+
+
+def test_flat_page_keeps_all_paragraphs():
+    """Paragraphs right below body are one region, with or without junk beside it."""
+    parts = ["A short title", LONG.strip(), "Short one.", LONG.strip(), "End."]
+    flat = f"<h1>{parts[0]}</h1><p>{parts[1]}</p><p>{parts[2]}</p><aside>x</aside>{parts[3]}<p>{parts[4]}</p>"
+    assert h.main_text(f"<html><body>{flat}</body></html>") == "\n\n".join(parts)
+    assert h.main_text(f"<body>{LINKS}{flat}{LINKS}</body>") == "\n\n".join(parts)
+    assert h.main_text("<body><h1>thirteen long</h1><p>" + "x" * 300 + "</p></body>") == "thirteen long\n\n" + "x" * 300
+
+
+def test_teaser_articles_do_not_replace_the_text():
+    teaser = "<article><h3><a href=x>More news</a></h3><p><a href=x>Read on</a></p></article>"
+    page = f"<body><div><h1>Title</h1><p>{LONG}</p><p>Short one.</p><p>{LONG}</p></div><div>{teaser * 4}</div></body>"
+    assert h.main_text(page) == "\n\n".join(["Title", LONG.strip(), "Short one.", LONG.strip()])
+
+
+def test_article_beside_unmarked_junk_and_several_posts():
+    article = f"<article><h1>Title</h1><p>{LONG}</p><p>Short one.</p><p>{LONG}</p></article>"
+    want = "\n\n".join(["Title", LONG.strip(), "Short one.", LONG.strip()])
+    assert h.main_text(f"<body>{LINKS}{article}{LINKS}</body>") == want
+    post = f"<article><h2>Next</h2><p>{LONG}</p></article>"
+    assert h.main_text(f"<body>{article}{LINKS}{post}</body>") == f"{want}\n\nNext\n\n{LONG.strip()}"
+
+
+def test_clusters_that_are_not_apart():
+    assert h.main_text(f"<body><div><p>{LONG}</p></div><div><p>{LONG[:200]}</p></div></body>") == f"{LONG.strip()}\n\n{LONG[:200].strip()}"
+    assert h.upper({1: 5.0}) == {1} and h.upper({1: 5.0, 2: 1.0}) == {1} and h.upper({1: 5.0, 2: 4.0}) == {1, 2}
