@@ -38,10 +38,9 @@ def benchmark(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def tokens(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Piece ids of every document that is left."""
-    vocabulary = pieces.load_vocabulary()
-    found = pieces.encode(docs, vocabulary, ["doc_id", "lang", "source"])
-    return found.select("row.*", F.size("ids").cast("long").alias("n_tokens"), "ids")
+    """Piece ids of every document that is left, and whether they give its text back."""
+    found = pieces.round_trips(docs, pieces.load_vocabulary(), ["doc_id", "lang", "source"])
+    return found.select("row.*", F.size("ids").cast("long").alias("n_tokens"), "ids", "round_trip")
 
 
 STAGES = [

@@ -8,6 +8,7 @@ path to each position (Viterbi). Scores add up as in a unigram model.
 
 from __future__ import annotations
 
+import hashlib
 import re
 from collections import Counter
 from dataclasses import dataclass
@@ -19,7 +20,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from linkloom.functions.let import let
-from linkloom.llm.base import register, small_batches, table
+from linkloom.llm.base import by_batch, register, small_batches, table
 
 SPACE = "▁"
 #: Units: spaces with what follows them, or runs of line feeds.
@@ -365,6 +366,17 @@ def encode(docs: DataFrame, vocabulary: Vocabulary, carry: list[str]) -> DataFra
     return packed.groupBy("block").cogroup(sent.groupBy("block")).applyInArrow(assemble, f"row {kind}, ids array<int>")
 
 
+def spelt(vocabulary: Vocabulary) -> list[bytes]:
+    """What each id stands for in a text."""
+    out = [b""] * vocabulary.size
+    for piece, _, i in vocabulary.pieces:
+        out[i] = piece.replace(SPACE, " ").encode("utf-8")
+    for b, i in enumerate(vocabulary.bytes):
+        out[i] = bytes([b])
+    out[vocabulary.unknown] = " ⁇ ".encode()
+    return out
+
+
 def decode(ids: Column, vocabulary: Vocabulary) -> Column:
     """The text of ``ids``; what the model's own decoder gives for valid bytes.
 
@@ -372,21 +384,44 @@ def decode(ids: Column, vocabulary: Vocabulary) -> Column:
     size and joined as bytes, so byte pieces form characters again. One leading
     blank, which encoding added, is taken off. Null for null.
     """
-    spelt = [""] * vocabulary.size
-    for piece, _, i in vocabulary.pieces:
-        spelt[i] = piece.replace(SPACE, " ").encode("utf-8").hex()
-    for b, i in enumerate(vocabulary.bytes):
-        spelt[i] = f"{b:02x}"
-    spelt[vocabulary.unknown] = " ⁇ ".encode().hex()
-    pieces = F.split(F.lit(",".join(spelt)), ",")
+    pieces = F.split(F.lit(",".join(x.hex() for x in spelt(vocabulary))), ",")
     joined = F.decode(F.unhex(F.array_join(F.transform(ids, lambda i: F.get(pieces, i)), "")), "utf-8")
     return F.when(joined.startswith(" "), F.substring(joined, 2, F.length(joined))).otherwise(joined) if vocabulary.dummy_space else joined
 
 
+def _round_trip(vocabulary: Vocabulary):
+    """Decodes each row's ids as ``decode`` does and compares with the text's md5."""
+    words, blank = spelt(vocabulary), vocabulary.dummy_space
+
+    def run(batch: pa.RecordBatch) -> pa.RecordBatch:
+        column, same = batch.column("ids"), []
+        ends, flat = column.offsets.to_numpy(), column.values.to_numpy()
+        for k, want in enumerate(batch.column("row").field("sum").to_pylist()):
+            back = b"".join([words[i] for i in flat[ends[k] : ends[k + 1]].tolist()])
+            same.append(hashlib.md5(back[1:] if blank and back.startswith(b" ") else back).hexdigest() == want)
+        return pa.RecordBatch.from_arrays([batch.column("row"), column, pa.array(same, pa.bool_())], names=["row", "ids", "round_trip"])
+
+    return run
+
+
+def round_trips(docs: DataFrame, vocabulary: Vocabulary, carry: list[str]) -> DataFrame:
+    """``row`` (the carried columns), ``ids``, and ``round_trip``: whether decoding
+    the ids gives the text back (by its md5, so that no text travels).
+
+    A null text counts as empty. A space piece in the text comes back as a space:
+    no round trip.
+    """
+    text = F.coalesce(F.col("text").cast("string"), F.lit(""))
+    own = docs.select(F.struct(*[docs[f"`{c}`"] for c in carry]).alias("kept"), F.md5(text.cast("binary")).alias("sum"), "text")
+    found = encode(own, vocabulary, ["kept", "sum"])
+    kind = found.schema["row"].dataType.simpleString()
+    found = found.mapInArrow(by_batch(_round_trip(vocabulary)), f"row {kind}, ids array<int>, round_trip boolean")
+    return found.select(F.col("row.kept").alias("row"), "ids", "round_trip")
+
+
 @register("op5_sentencepiece")
 def piece_query(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Ids of every document, and whether decoding them gives its text back."""
     docs = table(spark, sf_dir, "documents")
-    vocabulary = load_vocabulary()
-    found = encode(docs, vocabulary, ["doc_id"])
-    return found.select("row.doc_id", F.size("ids").cast("long").alias("n_tokens"), "ids")
+    found = round_trips(docs, load_vocabulary(), ["doc_id"])
+    return found.select("row.doc_id", F.size("ids").cast("long").alias("n_tokens"), "ids", "round_trip")

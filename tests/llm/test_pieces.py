@@ -85,3 +85,16 @@ def test_clashing_columns_and_empty_table(spark, vocabulary):
     row = pieces.encode(df, vocabulary, df.columns).select("row.*").first()
     assert row.asDict() == {"doc_id": 1, "text": "a b", "ids": 7, "block": "x"}
     assert pieces.encode(df.limit(0), vocabulary, ["doc_id"]).count() == 0
+
+
+def test_query_and_stage_check_the_round_trip(spark, tmp_path, data_dir):
+    import corpus_pipeline
+
+    texts = {1: "two  spaces and 中\U0001f600", 2: None, 3: "a▁b", 4: " lead", 5: "", 6: "▁"}
+    docs = spark.createDataFrame([(k, t, "en", "s") for k, t in texts.items()], "doc_id long, text string, lang string, source string")
+    docs.write.parquet(f"{tmp_path}/documents.parquet")
+    want = {1: True, 2: True, 3: False, 4: True, 5: True, 6: False}
+    assert {r.doc_id: r.round_trip for r in pieces.piece_query(spark, str(tmp_path)).collect()} == want
+    assert {r.doc_id: r.round_trip for r in corpus_pipeline.tokens(spark, docs, data_dir).collect()} == want
+    rows = pieces.piece_query(spark, data_dir).collect()
+    assert rows and all(r.round_trip for r in rows)
