@@ -21,9 +21,17 @@ _ASSIGN = re.compile(
 )
 _ACCESS = re.compile(r"AKIA[A-Z0-9]{14,}")
 _HEX = re.compile(r"[0-9a-f]{16,}")
-#: Candidates: hex of either case, base64 (line breaks inside allowed), its alphabet for urls, three dotted parts.
+#: Candidates: hex of either case, base64 of one alphabet (usual or for urls) where
+#: a sequence, a name's length or OpenSSH's magic can begin, three dotted parts.
 _HEX_RUN = re.compile(r"[0-9A-Fa-f]{64,}")
-_BASE64_RUN = re.compile(r"[A-Za-z0-9+/]{40,}(?:\r?\n[A-Za-z0-9+/]+)*={0,2}|[A-Za-z0-9_-]{40,}")
+_KEY_START = r"(?:M[A-P]|AAAA|b3BlbnNzaC1rZXktdjEA)"
+_STARTS = tuple(
+    (re.compile(rf"(?:(?<![{before}])|(?<=\\[nr])){_KEY_START}"), re.compile(rf"[{inside}]+"))
+    for before, inside in (("A-Za-z0-9+/", "A-Za-z0-9+/"), ("A-Za-z0-9_", "A-Za-z0-9_-"))
+)
+#: Between lines of base64: a line break or a written one (as in JSON), and indentation.
+_BREAK = re.compile(r"(?:\r?\n|(?:\\+r)?\\+n)[ \t]*")
+_LEAST_CHARS = 40
 _DOTTED = re.compile(r"[A-Za-z0-9_-]{16,}\.[A-Za-z0-9_-]{2,}\.[A-Za-z0-9_-]*")
 _NAME = re.compile(rb"(?:ssh|ecdsa|sk)-[a-z0-9@.-]+")
 #: DER tags that occur in key encodings: integer, bit string, octet string, null,
@@ -113,23 +121,75 @@ def _decode64(text: str) -> bytes | None:
         return None
 
 
-def _first_lines(run: str) -> str:
-    """The leading lines of a base64 run that the length in its header asks for:
-    text below a key may look like one more line."""
-    head = _decode64(run[:8]) or b""
+def _lines_from(text: str, at: int, line: re.Pattern):
+    """(base64 so far, its end in the text) after each line of a run."""
+    found = ""
+    while m := line.match(text, at):
+        found, at = found + m.group(), m.end()
+        while text.startswith("=", at) and at < m.end() + 2:
+            at += 1
+        yield found, at
+        gap = None if at > m.end() else _BREAK.match(text, at)
+        if gap is None:
+            return
+        at = gap.end()
+
+
+def _der_length(head: bytes) -> int:
+    """Bytes of a sequence by its header; 0 when it begins none."""
     if len(head) < 6 or head[0] != 0x30:
-        return run
+        return 0
     size, n = head[1], 0
     if size & 0x80:
         n = size & 0x7F
-        size = int.from_bytes(head[2 : 2 + n], "big") if n <= 4 else 0
-    need, seen, at = -(-(2 + n + size) * 4 // 3), 0, 0
-    for line in run.splitlines(keepends=True):
-        at += len(line)
-        seen += len(line.rstrip("\r\n="))
-        if seen >= need:
-            return run[:at].rstrip("\r\n")
-    return run
+        size = int.from_bytes(head[2 : 2 + n], "big") if 1 <= n <= 4 else -n - 2
+    # What the sequence begins with has a known tag, too.
+    return 2 + n + size if 2 + n >= len(head) or head[2 + n] in _TAGS else 0
+
+
+def _key_at(text: str, at: int, line: re.Pattern) -> tuple[int, str] | None:
+    """End and kind of a key whose base64 begins at ``at``.
+
+    The length in a sequence's header says how many lines it has: text below a
+    key may look like one more line. An SSH key is one line or the whole run.
+    """
+    need, last = -1, None
+    for n, (found, end) in enumerate(_lines_from(text, at, line)):
+        if text[at] == "M":
+            if need < 0 and len(found) >= 8:
+                need = -(-_der_length(_decode64(found[:8]) or b"") * 4 // 3)
+            if need == 0:
+                return None
+            if 0 < need <= len(found):
+                data = _decode64(found)
+                return (end, "der") if len(found) >= _LEAST_CHARS and data and der_key(data) else None
+            continue
+        if n == 0:
+            head = _decode64(found[: len(found) // 4 * 4][:80]) or b""
+            size = int.from_bytes(head[:4], "big")
+            if text[at] == "A" and not _NAME.match(head[4 : 4 + size]):
+                return None
+            if len(found) >= _LEAST_CHARS and ssh_key(_decode64(found) or b"") and text[at] == "A":
+                return end, "ssh"
+        last = found, end
+    if last and len(last[0]) >= _LEAST_CHARS and ssh_key(_decode64(last[0]) or b""):
+        return last[1], "ssh"
+    return None
+
+
+def _base64_keys(text: str) -> list[tuple[int, int, str]]:
+    """Keys in either alphabet; a key that both spell the same counts once."""
+    out: dict[int, tuple[int, int, str]] = {}
+    for start, line in _STARTS:
+        done = 0
+        for m in start.finditer(text):
+            if m.start() < done or m.start() in out:
+                continue
+            found = _key_at(text, m.start(), line)
+            if found:
+                done = found[0]
+                out[m.start()] = (m.start(), *found)
+    return list(out.values())
 
 
 def signed_token(text: str) -> bool:
@@ -155,15 +215,7 @@ def confirmed_spans(text: str) -> list[tuple[int, int, str]]:
             out.append((m.start(), m.end(), "der"))
         elif ssh_key(data):
             out.append((m.start(), m.end(), "ssh"))
-    for m in _BASE64_RUN.finditer(text):
-        if m.group()[0] not in "MAb":  # no other first letter begins a sequence or a name's length
-            continue
-        run = _first_lines(m.group())
-        data = _decode64(run)
-        if data and der_key(data):
-            out.append((m.start(), m.start() + len(run), "der"))
-        elif data and ssh_key(data):
-            out.append((m.start(), m.start() + len(run), "ssh"))
+    out += _base64_keys(text)
     out += [(m.start(), m.end(), "jwt") for m in _DOTTED.finditer(text) if signed_token(m.group())]
     return out
 

@@ -78,3 +78,20 @@ def test_base_spans(spark, data_dir):
         assert {f"{k}:{a}:{b}" for k, (a, b) in want} <= set(r.spans.split(",")) | {""}
     assert sum(r.n_assign + r.n_access + r.n_hex for r in rows) > 0
     assert secret_scan.secret_spans(docs.limit(0), ["doc_id"]).count() == 0
+
+
+def test_keys_in_written_lines_short_lines_and_the_url_alphabet():
+    for newline in ("\\n", "\\r\\n", "\\\\n", "\n", "\r\n", "\n    "):
+        for width in (16, 64):
+            lines = newline.join(re.findall(f".{{1,{width}}}", b64(RSA)))
+            text = f'"key": "-----BEGIN PRIVATE KEY-----{newline}{lines}{newline}-----END PRIVATE KEY-----"'
+            assert kinds(text) == [("der", lines)], (newline, width)
+    early = tlv(0x30, tlv(2, b"\0"), tlv(2, b"\xfb\xef\xbe\xff" * 10), tlv(2, b"\7" * 40))
+    late = tlv(0x30, tlv(2, b"\0"), tlv(2, b"\7" * 60), tlv(2, b"\xfb\xef\xbe\xff" * 10))
+    for data in (early, late):
+        spelt = b64(data, True)
+        assert {"-", "_"} & set(spelt)
+        assert kinds(f"k={spelt};") == [("der", spelt)]
+    assert not {"-", "_"} & set(b64(late, True)[:40])
+    assert kinds(f"ssh-rsa {b64(SSH)}\nssh-rsa {b64(SSH)}") == [("ssh", b64(SSH))] * 2
+    assert kinds("MAAA\n" * 20000 + "Most\nAn\n" * 20000 + "AAAAB3NzaC1yc2E\n" * 300) == []
