@@ -9,6 +9,7 @@ from linkloom.llm import (  # noqa: F401
     repetition,
     secret_scan,
     sharding,
+    substring_dedup,
     toxicity,
     url_filter,
 )
