@@ -5,6 +5,7 @@ from linkloom.llm import (  # noqa: F401
     html_extract,
     line_dedup,
     neardup,
+    periodic_runs,
     pieces,
     repetition,
     secret_scan,
