@@ -10,6 +10,7 @@ from linkloom.llm import (  # noqa: F401
     repetition,
     secret_scan,
     sharding,
+    spelling_variants,
     substring_dedup,
     toxicity,
     url_filter,
