@@ -191,15 +191,56 @@ def _tenant(spark, sf):
     return pairs.groupBy("project_id").agg(F.count("*").alias("pairs"))
 
 
-# SQL needs minutes for every window against every phrase: checked by brute
-# force on fixtures instead (tests/test_matching.py).
-@query("keyword_fuzzy")
+#: Best fuzzy window of each distinct body and phrase. A phrase's bigrams are found in
+#: the body; where enough of them stand within its length, windows are compared as sets.
+_FUZZY = """
+fbody AS MATERIALIZED (SELECT project_id, min(article_id) AS body_id, lower(body) AS body FROM {src} GROUP BY project_id, body),
+fphrase AS MATERIALIZED (SELECT project_id, phrase, length(phrase) AS size,
+  list_distinct(list_transform(range(1, length(phrase)), lambda i: substr(phrase, i, 2))) AS grams
+  FROM (SELECT DISTINCT project_id, phrase FROM {tgt})),
+fneed AS (SELECT *, CAST(ceil(2 * len(grams) / 3 - 1e-9) AS BIGINT) AS need FROM fphrase),
+fchars AS MATERIALIZED (SELECT project_id, body_id, p, substr(body, p, 2) AS gram
+  FROM (SELECT *, unnest(range(1, length(body))) AS p FROM fbody)),
+fstart AS MATERIALIZED (SELECT project_id, body_id, p + 1 AS s FROM fchars WHERE gram[1] IN (' ', chr(10))
+  UNION SELECT project_id, body_id, 1 FROM fbody WHERE body <> ''),
+fmet AS (SELECT c.project_id, c.body_id, f.phrase, f.size, f.need, c.p FROM fchars c
+  JOIN (SELECT *, unnest(grams) AS gram FROM fneed) f ON c.project_id = f.project_id AND c.gram = f.gram),
+fcount AS (SELECT *, lag(p) OVER w AS before, lead(p, CAST(need - 1 AS INTEGER)) OVER w AS last FROM fmet
+  WINDOW w AS (PARTITION BY project_id, body_id, phrase ORDER BY p)),
+fplace AS (SELECT project_id, body_id, phrase, size, coalesce(before, 0) + 1 AS low, p AS high, last FROM fcount WHERE last - p <= size - 2),
+fpair AS (SELECT DISTINCT f.project_id, f.body_id, f.phrase, s.s FROM fplace f JOIN fstart s
+  ON f.project_id = s.project_id AND f.body_id = s.body_id AND s.s >= greatest(f.low, f.last + 2 - f.size) AND s.s <= f.high),
+fdice AS (SELECT x.project_id, x.body_id, x.phrase, x.s, list_distinct(list_transform(range(s, s + size - 1),
+  lambda i: substr(body, i, 2))) AS own, grams FROM fpair x JOIN fbody b ON x.project_id = b.project_id AND x.body_id = b.body_id
+  JOIN fphrase f ON f.project_id = x.project_id AND f.phrase = x.phrase
+  WHERE s + size - 1 <= length(body) AND NOT contains(body, x.phrase)),
+fbest AS (SELECT project_id, body_id, phrase, CAST(s - 1 AS INTEGER) AS offset_at, d AS confidence FROM (
+  SELECT *, row_number() OVER (PARTITION BY project_id, body_id, phrase ORDER BY d DESC, s) AS rn FROM (
+    SELECT *, 2.0::DOUBLE * len(list_intersect(own, grams)) / (len(own) + len(grams)) AS d FROM fdice) WHERE d >= 0.8) WHERE rn = 1)"""
+
+
+def _with_fuzzy(ctes: str, sql: str, src: str = "src", tgt: str = "tgt") -> str:
+    """``sql`` over ``fbest``, the fuzzy hits of ``src`` bodies and ``tgt`` phrases."""
+    return w(ctes, f", {_FUZZY.format(src=src, tgt=tgt)} {sql}").replace(")\n,", "),")
+
+
+@query(
+    "keyword_fuzzy",
+    _with_fuzzy("pg src tgt", 'SELECT source_id, target_id, "offset", round(confidence, 9) AS confidence FROM (SELECT s.article_id '
+      'AS source_id, t.article_id AS target_id, offset_at AS "offset", confidence, row_number() OVER (PARTITION BY s.article_id '
+      "ORDER BY t.article_id) AS rn FROM fbest f JOIN fbody b ON b.body_id = f.body_id AND b.project_id = f.project_id "
+      "JOIN src s ON s.project_id = b.project_id AND lower(s.body) = b.body JOIN tgt t ON t.project_id = f.project_id "
+      "AND t.phrase = f.phrase AND t.article_id <> s.article_id) WHERE rn <= 10"),
+)
 def _keyword_fuzzy(spark, sf):
     pairs = fuzzy.keyword_fuzzy(*_page_sides(spark, sf))
     return pairs.select("source_id", "target_id", "offset", F.round("confidence", 9).alias("confidence"))
 
 
-@query("best_window")
+@query(
+    "best_window",
+    _with_fuzzy("pg src tgt", 'SELECT project_id, body_id, phrase, offset_at AS "offset", round(confidence, 9) AS confidence FROM fbest'),
+)
 def _best_window(spark, sf):
     """Best fuzzy window per distinct body and phrase."""
     sources, targets = _page_sides(spark, sf)

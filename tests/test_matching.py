@@ -150,16 +150,49 @@ def test_exact_blocking_is_lossless(spark):
     assert got == want
 
 
-def test_phrase_blocks_change_no_row(spark, data_dir):
+def test_windows_against_brute_force(monkeypatch):
+    """The prefix index finds the window that comparing every window finds."""
+    rng = random.Random(9)
+    words = ["alpha", "beta", "gamma", "delta", "of", "aa", "aaa", "x1", "\u00e9t\u00e9", "\U0001f600b"]
+    for seed in range(60):
+        monkeypatch.setattr(fuzzy, "_CELLS", rng.choice([40, 2_000_000]))
+        threshold = rng.choice([0.5, 0.7, 0.8, 1.0])
+        phrases = list({" ".join(rng.choices(words, k=rng.randint(2, 5))) for _ in range(6)})
+        body = rng.choice([" ", "\n"]).join(
+            "".join(c if rng.random() < 0.9 else rng.choice("abx ") for c in rng.choice([*phrases, *words])) for _ in range(30)
+        )
+        index = fuzzy.PhraseIndex(phrases, threshold, fuzzy._codes(rng.choice(["ab", body])))
+        got = {p: (t, round(d, 9)) for p, t, d in index.best_windows(body)}
+        want = {p: best_window(body, p, threshold) for p in phrases if p not in body}
+        assert got == {p: (w[0], round(w[1], 9)) for p, w in want.items() if w}, seed
+    assert not list(fuzzy.PhraseIndex([], 0.8, fuzzy._codes("ab")).best_windows("some text"))
+    assert not list(fuzzy.PhraseIndex(["some text"], 0.8, fuzzy._codes("ab")).best_windows("s"))
+
+
+def test_slices_and_parts_change_no_row(spark, data_dir, monkeypatch):
     from linkloom.plans.queries_links import _page_sides
 
-    b = spark.createDataFrame([("p", "1", "one two three")], "project_id string, body_id string, body string")
-    p = spark.createDataFrame([("p", "one two thres"), ("p", "one twx three")], "project_id string, phrase string")
-    assert fuzzy.fuzzy_hits(b, p, None, 0.7, block_phrases=1).count() == 2
+    b = spark.createDataFrame([("p", "1", "one two three"), ("p", "2", ""), ("q", "3", "one two three")], "project_id string, body_id string, body string")
+    p = spark.createDataFrame([("p", "one two thres"), ("p", "one twx three"), ("r", "one two thres")], "project_id string, phrase string")
+    got = fuzzy.fuzzy_hits(b, p, None, 0.7).collect()
+    assert sorted((r.body_id, r.phrase, r.offset, r.context) for r in got) == [
+        ("1", "one two thres", 0, "one two three"), ("1", "one twx three", 0, "one two three")
+    ]
     sources, targets = _page_sides(spark, data_dir)
     bodies, phrases = matching.distinct_bodies(sources), matching.distinct_phrases(targets)
     whole = sorted(fuzzy.fuzzy_hits(bodies, phrases, None, 0.5).collect())
-    assert sorted(fuzzy.fuzzy_hits(bodies, phrases, None, 0.5, block_phrases=7).collect()) == whole and whole
+    monkeypatch.setattr(fuzzy, "SLICE_CHARS", 5_000)
+    monkeypatch.setattr(fuzzy, "PART_PHRASES", 3)
+    assert sorted(fuzzy.fuzzy_hits(bodies, phrases, None, 0.5).collect()) == whole and whole
+
+
+def test_few_pairs_are_compared(spark, data_dir):
+    from linkloom.plans.queries_links import _page_sides
+
+    sources, targets = _page_sides(spark, data_dir)
+    rows = fuzzy.fuzzy_work(matching.distinct_bodies(sources), matching.distinct_phrases(targets)).collect()
+    pairs, compared = sum(r.pairs for r in rows), sum(r.compared for r in rows)
+    assert pairs > 10_000 and compared < 0.05 * pairs
 
 
 def test_limit_per_key_two_passes(spark):
