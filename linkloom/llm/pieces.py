@@ -32,9 +32,11 @@ MAX_PIECES = 1_000_000
 HEAD_UNITS, HEAD_TEXTS = 300_000, 20_000
 HEAD_CHARS = 40
 HEAD_PARTS = 48
-#: Texts of one block, for which a dictionary of the other units is gathered, and
+#: Characters of one block, for which a dictionary of the other units is gathered, and
 #: texts whose other units one task of the lattice should get.
-BLOCK_TEXTS, LATTICE_TEXTS = 5_000, 1_000
+BLOCK_CHARS, LATTICE_TEXTS = 8_000_000, 1_000
+#: Longer units are cut where no piece reaches across.
+CUT_CHARS = 512
 CHUNK = 256
 #: Longest unit for the short form of the fold.
 SHORT = 48
@@ -223,9 +225,35 @@ def encoded_units(units: DataFrame, vocabulary: Vocabulary) -> DataFrame:
     return grouped.select("unit", "blocks", path.alias("ids"))
 
 
+def _cut(unit: str, pieces: set[str], longest: int) -> list[str]:
+    """``unit`` in parts, cut at positions that lie inside no piece. Every path passes
+    these, so the parts' best paths make up the unit's."""
+    n = len(unit)
+    out, start, reach = [], 0, 0
+    for at in range(n):
+        if at > start and reach <= at:
+            out.append(unit[start:at])
+            start = at
+        for end in range(min(n, at + longest), max(reach, at + 1), -1):
+            if unit[at:end] in pieces:
+                reach = end
+                break
+    return [*out, unit[start:]]
+
+
 def _units_of(vocabulary: Vocabulary):
-    pattern = re.compile(UNIT)
-    return lambda text: pattern.findall(vocabulary.prepared(text))
+    pattern, longest = re.compile(UNIT), vocabulary.longest
+    pieces: set[str] = set()
+
+    def units(text: str | None) -> list[str]:
+        found = pattern.findall(vocabulary.prepared(text))
+        if max(map(len, found), default=0) <= CUT_CHARS:
+            return found
+        if not pieces:
+            pieces.update(p for p, _, _ in vocabulary.pieces)
+        return [x for u in found for x in (_cut(u, pieces, longest) if len(u) > CUT_CHARS else [u])]
+
+    return units
 
 
 def _other_units(vocabulary: Vocabulary, known):
@@ -327,12 +355,13 @@ def encode(docs: DataFrame, vocabulary: Vocabulary, carry: list[str]) -> DataFra
     spark = docs.sparkSession
     small_batches(spark)
     given = docs.select(F.struct(*[docs[f"`{c}`"] for c in carry]).alias("row"), F.col("text").cast("string").alias("text"))
-    rows = given.count()
-    blocks = max(1, -(-rows // BLOCK_TEXTS))
+    size = given.agg(F.count("*").alias("rows"), F.sum(F.length("text")).alias("chars")).first()
+    rows, blocks = size.rows, max(1, -(-(size.chars or 0) // BLOCK_CHARS))
     given = given.withColumn("block", F.pmod(F.xxhash64("row", "text"), F.lit(blocks)).cast("int"))
     head = frequent_units(given, vocabulary, rows)
     known = spark.sparkContext.broadcast({u: k for k, (u, _) in enumerate(head)})
-    known_ids = spark.sparkContext.broadcast([np.array(i, dtype=np.int32) for _, i in head])
+    sizes = np.array([len(i) for _, i in head], dtype=np.int32)
+    known_ids = spark.sparkContext.broadcast((sizes, np.array([x for _, i in head for x in i], dtype=np.int32)))
     parts = max(int(spark.conf.get("spark.sql.shuffle.partitions")), rows // LATTICE_TEXTS)
     others = given.select("block", "text").mapInArrow(_other_units(vocabulary, known), "block int, unit string")
     others = others.repartition(parts, "unit").groupBy("unit").agg(F.collect_set("block").alias("blocks"))
@@ -346,21 +375,34 @@ def encode(docs: DataFrame, vocabulary: Vocabulary, carry: list[str]) -> DataFra
 
     def assemble(left: pa.Table, right: pa.Table) -> pa.Table:
         unpress = zstandard.ZstdDecompressor().decompress
-        own: dict[str, np.ndarray] = {}
+        widths, flats = [known_ids.value[0]], [known_ids.value[1]]
+        own: dict[str, int] = {}
         for units, sizes, ids in zip(*[right.column(c).to_pylist() for c in ("units", "sizes", "ids")], strict=True):
-            ends = np.cumsum(np.frombuffer(unpress(sizes), dtype=np.int32))
-            flat = np.frombuffer(unpress(ids), dtype=np.int32)
-            for u, part in zip(unpress(units).decode("utf-8", "surrogatepass").split(" "), np.split(flat, ends[:-1]), strict=True):
-                own[u] = np.array(vocabulary.expand(part.tolist()), dtype=np.int32)
-        heads, out, total = known_ids.value, [], [0]
+            width, flat = np.frombuffer(unpress(sizes), dtype=np.int32), np.frombuffer(unpress(ids), dtype=np.int32)
+            if len(flat) and flat.min() < 0:
+                parts = [vocabulary.expand(x.tolist()) for x in np.split(flat, np.cumsum(width)[:-1])]
+                width = np.array([len(x) for x in parts], dtype=np.int32)
+                flat = np.array([i for x in parts for i in x], dtype=np.int32)
+            first = sum(map(len, widths))
+            for k, u in enumerate(unpress(units).decode("utf-8", "surrogatepass").split(" ")):
+                own[u] = first + k
+            widths.append(width)
+            flats.append(flat)
+        width, flat = np.concatenate(widths), np.concatenate(flats)
+        begin = np.cumsum(width, dtype=np.int64) - width
+        out, total = [], [0]
         for numbers, rest in zip(left.column("numbers").to_pylist(), left.column("others").to_pylist(), strict=True):
-            spelt = iter(unpress(rest).decode("utf-8", "surrogatepass").split(" "))
-            row = np.frombuffer(unpress(numbers), dtype=np.int32).tolist()
-            made = [heads[k] if k >= 0 else own[next(spelt)] for k in row]
-            out += made
-            total.append(total[-1] + sum(map(len, made)))
-        flat = np.concatenate(out) if out else np.zeros(0, dtype=np.int32)
-        ids = pa.ListArray.from_arrays(pa.array(np.array(total, dtype=np.int32)), pa.array(flat))
+            row = np.frombuffer(unpress(numbers), dtype=np.int32).copy()
+            spelt = unpress(rest).decode("utf-8", "surrogatepass")
+            if spelt:
+                row[row < 0] = [own[u] for u in spelt.split(" ")]
+            n = width[row]
+            ends = np.cumsum(n, dtype=np.int64)
+            made = flat[np.arange(int(ends[-1]) if len(ends) else 0) + np.repeat(begin[row] - (ends - n), n)]
+            out.append(made)
+            total.append(total[-1] + len(made))
+        joined = np.concatenate(out) if out else np.zeros(0, dtype=np.int32)
+        ids = pa.ListArray.from_arrays(pa.array(np.array(total, dtype=np.int32)), pa.array(joined, pa.int32()))
         return pa.table({"row": left.column("row"), "ids": ids})
 
     return packed.groupBy("block").cogroup(sent.groupBy("block")).applyInArrow(assemble, f"row {kind}, ids array<int>")

@@ -15,7 +15,7 @@ def shingles(text):
     return {tuple(words[i : i + 5]) for i in range(max(1, len(words) - 4))} if words else set()
 
 
-def brute(rows):
+def brute(rows, percent=85):
     """component_id for each doc_id, by all pairs that share a shingle."""
     sets = [shingles(t) for _, t in rows]
     holders = {}
@@ -35,7 +35,7 @@ def brute(rows):
         return x
 
     for (a, b), both in links.items():
-        if 100 * both >= 85 * (len(sets[a]) + len(sets[b]) - both):
+        if 100 * both >= percent * (len(sets[a]) + len(sets[b]) - both):
             x, y = find(rows[a][0]), find(rows[b][0])
             root[max(x, y)] = min(x, y)
     return {d: find(d) for d, _ in rows}, [(d, len(s)) for (d, _), s in zip(rows, sets, strict=True)]

@@ -57,7 +57,7 @@ def test_given_documents(spark, data_dir, vocabulary, library):
 def test_without_frequent_units(spark, vocabulary, library, monkeypatch):
     """All units take the join when no unit is known to every worker; many blocks."""
     monkeypatch.setattr(pieces, "HEAD_UNITS", 0)
-    monkeypatch.setattr(pieces, "BLOCK_TEXTS", 3)
+    monkeypatch.setattr(pieces, "BLOCK_CHARS", 700)
     rng = random.Random(3)
     rows = [(k, " ".join("".join(rng.choices("abcdehnorst", k=rng.randrange(1, 30))) for _ in range(20))) for k in range(12)]
     for r in encoded(spark, rows, vocabulary).collect():
@@ -80,6 +80,38 @@ def test_odd_texts(spark, vocabulary, library):
     assert ids[6] == by_library(library, vocabulary, rows[5][1])
 
 
+def plain_path(vocabulary, unit):
+    """Viterbi over the whole unit, in double precision."""
+    table = {p: (s, i) for p, s, i in vocabulary.pieces}
+    best = [(0.0, None, None)] + [None] * len(unit)
+    for end in range(1, len(unit) + 1):
+        for start in range(max(0, end - vocabulary.longest), end):
+            found = table.get(unit[start:end]) or ((vocabulary.unknown_score, -1 - ord(unit[start])) if end - start == 1 else None)
+            if found and (best[end] is None or best[start][0] + found[0] > best[end][0]):
+                best[end] = (best[start][0] + found[0], start, found[1])
+    ids, at = [], len(unit)
+    while at:
+        ids.append(best[at][2])
+        at = best[at][1]
+    return vocabulary.expand(ids[::-1])
+
+
+def test_very_long_units(spark, vocabulary):
+    """Units are cut where no piece reaches across: the parts' paths are the unit's."""
+    rng = random.Random(6)
+    pieces_ = {p for p, _, _ in vocabulary.pieces}
+    letters = "".join(rng.choices("abcdefghijklmnopqrstuvwxyz0123456789+/", k=100_000))
+    parts = pieces._cut(letters, pieces_, vocabulary.longest)
+    assert "".join(parts) == letters and max(map(len, parts)) < 300
+    short = letters[:1500]
+    whole = plain_path(vocabulary, pieces.SPACE + short)
+    assert [i for part in pieces._cut(pieces.SPACE + short, pieces_, vocabulary.longest) for i in plain_path(vocabulary, part)] == whole
+    rows = [(1, letters), (2, "a b " * 250_000), (3, short), (4, "")]
+    got = encoded(spark, rows, vocabulary).select("doc_id", "ids", pieces.decode(F.col("ids"), vocabulary).alias("back")).collect()
+    assert {r.doc_id: r.back for r in got} == dict(rows)
+    assert {r.doc_id: r.ids for r in got}[3] == whole
+
+
 def test_clashing_columns_and_empty_table(spark, vocabulary):
     df = spark.createDataFrame([(1, "a b", 7, "x")], "doc_id long, text string, ids int, block string")
     row = pieces.encode(df, vocabulary, df.columns).select("row.*").first()

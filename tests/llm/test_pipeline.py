@@ -14,7 +14,7 @@ def plain(rows, bench):
     rows = [r for r in rows if repetition.measure(r[1])[-1]]
     texts = cleaned([(r[3], r[1]) for r in rows])
     rows = [(r[0], t, r[2], r[3]) for r, t in zip(rows, texts, strict=True)]
-    root = groups([(r[0], r[1]) for r in rows])[0]
+    root = groups([(r[0], r[1]) for r in rows], corpus_pipeline.NEAR_PERCENT)[0]
     rows = [r for r in rows if root[r[0]] == r[0]]
     return [r for r in rows if not hits(r[1], bench)[1]]
 
