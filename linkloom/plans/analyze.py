@@ -6,7 +6,7 @@ import logging
 from collections.abc import Callable, Mapping
 from typing import Any
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from linkloom.operators import articles as art
@@ -20,14 +20,15 @@ from linkloom.sources.pages import scoped
 log = logging.getLogger(__name__)
 
 
-def stored_recs(ranked: DataFrame, run_id: str, now: Column) -> DataFrame:
-    """Proposals as pending recommendation rows of a run."""
+def stored_recs(ranked: DataFrame, run_id: str | Column, now: Column) -> DataFrame:
+    """Proposals as pending recommendation rows of a run (or of each row's run)."""
+    run_id = F.lit(run_id) if isinstance(run_id, str) else run_id
     return conform(
         ranked.withColumns(
             {
-                "run_id": F.lit(run_id),
+                "run_id": run_id,
                 "rec_id": F.sha2(
-                    F.concat_ws("\n", F.lit(run_id), "source_id", "target_id", "strategy_id"), 256
+                    F.concat_ws("\n", run_id, "source_id", "target_id", "strategy_id"), 256
                 ),
                 "status": F.lit("pending"),
                 "created_at": now,
@@ -159,6 +160,78 @@ def analyze(
         return {**tables, "runs": failed}
 
 
+def analyze_all(
+    tables: Mapping[str, DataFrame],
+    registry: StrategyRegistry,
+    configs: DataFrame | None = None,
+    embed: Callable[[list[str]], list[list[float]]] | None = None,
+    model: str | None = None,
+    batch_size: int = 512,
+    now: Column | None = None,
+    options: Mapping[str, Any] | None = None,
+) -> dict[str, DataFrame]:
+    """Next snapshots of articles, recs and runs: every project's open run in one plan.
+
+    ``tables`` as for :func:`analyze`. Of a project's pending or running runs the first
+    (by creation, then id) is done, others wait. Settings are columns: each project's
+    stored ones (``configs``: project_id, strategy_id, settings) or the defaults, joined
+    by project, so projects with different approaches, thresholds and budgets share
+    every join. A project without articles gets a completed run without rows. Runs fail
+    together; strategies fail one by one, and each run records the errors.
+    """
+    now = F.current_timestamp() if now is None else now
+    runs, recs = tables["runs"], tables["recs"]
+    first = Window.partitionBy("project_id").orderBy(F.col("created_at").asc_nulls_first(), "run_id")
+    waiting = runs.filter(F.col("status").isin("pending", "running")).withColumn("_rn", F.row_number().over(first))
+    claimed = cut_lineage(waiting.filter("_rn = 1").select("project_id", "run_id"), "claimed")
+    projects = claimed.select("project_id")
+    if configs is None:
+        configs = runs.sparkSession.createDataFrame([], "project_id string, strategy_id string, settings struct<none:int>")
+    settings = cut_lineage(review.config_lookup(projects, configs, "crosslink"), "settings")
+    mine = claimed.select("run_id", F.lit(True).alias("_mine"))
+
+    def ended(status: str, error: Column) -> DataFrame:
+        marked = runs.join(mine, "run_id", "left")
+        is_mine = F.coalesce("_mine", F.lit(False))
+        new = {"status": F.lit(status), "error": error, "completed_at": now, "started_at": now, "last_heartbeat_at": now}
+        return marked.withColumns({c: F.when(is_mine, v).otherwise(F.col(c)) for c, v in new.items()}).select(runs.columns)
+
+    try:
+        own = tables["articles"].join(projects, "project_id", "left_semi").select(tables["articles"].columns)
+        others = tables["articles"].join(projects, "project_id", "left_anti").select(tables["articles"].columns)
+        own, done = embed_step(own, embed, model, batch_size)
+        found, errors = registry.analyze_with_all(Context(own, None, {"settings": settings}), options)
+        budget = settings.select("project_id", F.col("max_links_per_page").alias("_cap"))
+        w = Window.partitionBy("project_id", "source_id").orderBy(*rank.rank_order())
+        merged = rank.merge_pairs(found).join(budget, "project_id")
+        capped = merged.withColumn("_rn", F.row_number().over(w)).filter(F.col("_rn") <= F.col("_cap")).drop("_rn", "_cap")
+        owned = capped.drop("run_id").join(claimed, "project_id")
+        fresh = cut_lineage(stored_recs(owned, F.col("run_id"), now), "recs")
+        running = claimed.withColumnRenamed("run_id", "_run")
+        old = recs.join(running, "project_id", "left")
+        stale = F.col("_run").isNotNull() & (F.col("status") == "pending") & (F.col("run_id") != F.col("_run"))
+        kept = old.withColumn("status", F.when(stale, "superseded").otherwise(F.col("status"))).select(recs.columns)
+        stored = review.insert_recs(kept, fresh, own)
+        message = "; ".join(f"{k}: {v}" for k, v in errors.items()) or None
+        active = runs.join(mine, "run_id", "left_semi").withColumn("status", F.lit("running"))
+        counted = reports.run_counters(active, own, fresh, done).withColumns(
+            {
+                "status": F.lit("completed"),
+                "error": F.lit(message).cast("string"),
+                "started_at": now,
+                "last_heartbeat_at": now,
+                "completed_at": now,
+                "strategies_used": F.array(*[F.lit(s.id) for s in registry.list()]).cast("array<string>"),
+            }
+        )
+        waiting_on = runs.join(mine, "run_id", "left_anti").select(runs.columns)
+        written = cut_lineage(waiting_on.unionByName(counted.select(runs.columns)), "runs")
+        return {**tables, "articles": others.unionByName(own), "recs": stored, "runs": written}
+    except Exception as error:  # noqa: BLE001 - the runs record it
+        log.warning("runs failed: %s", error)
+        return {**tables, "runs": ended("failed", F.lit(str(error)))}
+
+
 def page_links(articles: DataFrame, max_new: int = 10) -> DataFrame:
     """Which pages should link to which, by exact title phrase, ranked.
 

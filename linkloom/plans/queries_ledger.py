@@ -9,7 +9,7 @@ from linkloom.operators import articles as art
 from linkloom.operators import export, ledger, reports, review
 from linkloom.plans import crosslink as cl
 from linkloom.plans import inputs as i
-from linkloom.plans.analyze import analyze, dry_run, reanalysis_scope
+from linkloom.plans.analyze import analyze_all, dry_run, reanalysis_scope
 from linkloom.plans.catalog import query
 from linkloom.plans.inputs import with_ctes as w
 from linkloom.plans.ingest import ingest
@@ -751,26 +751,48 @@ def _ingest(spark, sf):
     return out["articles"].select("url", "body_hash", "http_status", "action")
 
 
+def _pending_runs(articles):
+    """One pending run for each project."""
+    return conform(
+        articles.select("project_id").distinct().select(
+            F.concat(F.lit("r-"), "project_id").alias("run_id"), "project_id", F.lit("pending").alias("status")
+        ),
+        RUNS,
+    )
+
+
+def _analyzed(spark, articles, configs, options, name):
+    registry = StrategyRegistry()
+    registry.register(cl.CROSSLINK)
+    tables = {"articles": articles, "recs": spark.createDataFrame([], RECS), "runs": _pending_runs(articles)}
+    return analyze_all(tables, registry, configs, now=i.at("2024-01-01"), options=options)[name]
+
+
 @query(
     "analyze",
-    w("pg src tgt", "SELECT s.source_id, s.target_id, 'critical' AS severity, 'pending' AS status FROM (SELECT *, row_number() OVER "
-      "(PARTITION BY source_id ORDER BY target_id) AS rn FROM (SELECT s.article_id AS source_id, t.article_id AS target_id "
-      "FROM src s JOIN tgt t ON s.project_id = t.project_id AND s.article_id <> t.article_id WHERE s.project_id = 'en' AND "
-      "strpos(lower(s.body), t.phrase) > 0)) s WHERE rn <= 10"),
+    w("pg src tgt", "SELECT s.project_id, s.source_id, s.target_id, 'critical' AS severity, 'pending' AS status FROM (SELECT *, "
+      "row_number() OVER (PARTITION BY source_id ORDER BY target_id) AS rn FROM (SELECT s.project_id, s.article_id AS source_id, "
+      "t.article_id AS target_id FROM src s JOIN tgt t ON s.project_id = t.project_id AND s.article_id <> t.article_id WHERE "
+      "strpos(lower(s.body), t.phrase) > 0)) s WHERE rn <= CASE WHEN s.project_id = 'de' THEN 3 ELSE 10 END"),
 )
 def _analyze(spark, sf):
-    """One exact-keyword run over the English pages, from pending to stored."""
-    registry = StrategyRegistry()
-    registry.register(cl.CROSSLINK)
-    run = spark.range(1).select(
-        F.lit("r1").alias("run_id"), F.lit("en").alias("project_id"), F.lit("pending").alias("status")
-    )
-    tables = {
-        "articles": cut_lineage(conform(i.page_articles(spark, sf), ARTICLES), "articles"),
-        "recs": spark.createDataFrame([], RECS),
-        "runs": conform(run, RUNS),
-    }
-    out = analyze(
-        tables, "r1", "en", registry, {"approaches": ("keyword",), "fuzzy_plan": "none"}, now=i.at("2024-01-01")
-    )
-    return out["recs"].select("source_id", "target_id", "severity", "status")
+    """Exact-keyword runs over the pages of every project, one of which has its own budget."""
+    articles = cut_lineage(conform(i.page_articles(spark, sf), ARTICLES), "articles")
+    configs = articles.select("project_id").distinct().where("project_id = 'de'").select(
+        "project_id", F.lit("crosslink").alias("strategy_id"), F.struct(F.lit(3).alias("max_links_per_page")).alias("settings")
+    )
+    recs = _analyzed(spark, articles, configs, {"fuzzy_plan": "none"}, "recs")
+    return recs.select("project_id", "source_id", "target_id", "severity", "status")
+
+
+# The fuzzy half has no SQL: tests/test_tables.py compares with runs project by project.
+@query("analyze_both")
+def _analyze_both(spark, sf):
+    """Runs over the documents of every language, with both approaches and stored vectors."""
+    articles = cut_lineage(conform(i.embedded_documents(spark, sf), ARTICLES), "articles")
+    both = F.struct(F.array(F.lit("keyword"), F.lit("semantic")).alias("default_approaches"), F.lit(0.3).alias("similarity_threshold"))
+    configs = articles.select("project_id").distinct().select("project_id", F.lit("crosslink").alias("strategy_id"), both.alias("settings"))
+    recs = _analyzed(spark, articles, configs, None, "recs")
+    return recs.select(
+        "project_id", "source_id", "target_id", "severity", "matching_approach", "status", F.round("confidence", 9).alias("confidence")
+    )

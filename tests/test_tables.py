@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from linkloom.functions.text import content_hash
 from linkloom.operators import articles as art
 from linkloom.operators import export, ledger, rank, reports, review
-from linkloom.plans.analyze import analyze
+from linkloom.plans.analyze import analyze, analyze_all
 from linkloom.plans.crosslink import default_registry
 from linkloom.plans.ingest import ingest
 from linkloom.schemas import ARTICLES, JOBS, PROPOSALS, RECS, RUNS, TASKS, conform
@@ -361,6 +361,63 @@ def test_analyze(spark):
     assert conform(out["recs"], PROPOSALS).columns == PROPOSALS.names
 
 
+def test_analyze_all_equals_one_run_after_the_other(spark):
+    """Four projects with settings of their own: one plan gives what single runs give."""
+    import random
+
+    rng = random.Random(11)
+    words = "alpha beta gamma delta rho sigma taus omega".split()
+    rows = []
+    for project in ("p", "q", "r", "s"):
+        titles = [" ".join(rng.choices(words, k=4)) for _ in range(5)]
+        for k in range(9):
+            parts = rng.choices(words, k=55)
+            for t in rng.sample(titles, 3):
+                t = list(t)
+                if rng.random() < 0.6:
+                    t[rng.randrange(len(t))] = rng.choice("abxyz ")
+                parts.insert(rng.randrange(50), "".join(t))
+            vector = [rng.random() + (3.0 if d == k % 3 else 0.0) for d in range(4)]
+            rows.append((project, f"{project}{k}", f"https://e.com/{project}{k}", rng.choice(titles), " ".join(parts), vector, "m"))
+    names = "project_id article_id url title body embedding embedding_model".split()
+    articles = frame(spark, ARTICLES, **dict(zip(names, map(list, zip(*rows)))))
+    articles = articles.withColumns({"body_hash": F.sha2("body", 256), "word_count": F.lit(60), "http_status": F.lit(200)}).cache()
+    settings = {
+        "p": (["keyword", "semantic"], 0.9, 0.7, 2),
+        "q": (["semantic"], 0.95, 0.8, 10),
+        "r": (["keyword"], 0.5, 0.95, 1),
+    }
+    configs = spark.createDataFrame(
+        [(k, "crosslink", v) for k, v in settings.items()],
+        "project_id string, strategy_id string, settings struct<default_approaches:array<string>,similarity_threshold:double,"
+        "fuzzy_tolerance:double,max_links_per_page:int>",
+    )
+    runs = frame(spark, RUNS, run_id=["rp", "rq", "rr", "rs", "rp2", "ro"], project_id=list("pqrsp") + ["o"], status=["pending"] * 6,
+                 created_at=[NOW + dt.timedelta(hours=1), NOW + dt.timedelta(hours=1), NOW + dt.timedelta(hours=1), NOW + dt.timedelta(hours=1), NOW + dt.timedelta(hours=2), NOW + dt.timedelta(hours=1)])
+    old = recs(spark, [("1", "x", "y", "info", 0.1, "k", "pending", "r0")])
+    tables = {"articles": articles, "recs": old, "runs": runs}
+    out = analyze_all(tables, default_registry(), configs, now=now())
+    columns = "run_id source_id target_id matching_approach confidence anchor_text char_start status".split()
+    got = sorted(tuple(r) for r in out["recs"].filter("run_id <> 'r0'").select(columns).collect())
+    want = []
+    for project in settings | {"s": None}:
+        own = settings.get(project) or (["keyword"], 0.75, 0.8, 10)
+        options = dict(zip(("approaches", "similarity_threshold", "fuzzy_tolerance", "max_links_per_page"), own))
+        single = analyze(tables, f"r{project}", project, default_registry(), options, now=now())
+        want += [tuple(r) for r in single["recs"].filter("run_id <> 'r0'").select(columns).collect()]
+    assert got == sorted(want) and {r[3] for r in got} >= {"keyword", "semantic"}
+    status = {r.run_id: (r.status, r.article_count, r.recommendation_count) for r in out["runs"].collect()}
+    assert status["rp2"][0] == "pending" and status["ro"][0] == "completed"
+    for run in ("rp", "rq", "rr", "rs"):
+        assert status[run] == ("completed", 9, sum(r[0] == run for r in got))
+    assert out["recs"].filter("run_id = 'r0'").first().status == "superseded"
+    broken = analyze_all(tables, default_registry(), configs, embed=lambda ts: [], model="other", now=now())
+    assert {r.run_id: r.status for r in broken["runs"].collect()} == {
+        "rp": "failed", "rq": "failed", "rr": "failed", "rs": "failed", "ro": "failed", "rp2": "pending"
+    }
+    assert analyze_all({**tables, "runs": runs.limit(0)}, default_registry())["recs"].count() == 1
+
+
 def test_partitioned_report_equals_the_single_file(spark, tmp_path):
     from linkloom.plans import inputs
 
