@@ -22,18 +22,19 @@ _ASSIGN = re.compile(
 _ACCESS = re.compile(r"AKIA[A-Z0-9]{14,}")
 _HEX = re.compile(r"[0-9a-f]{16,}")
 #: Candidates: hex of either case, base64 of one alphabet (usual or for urls) where
-#: a sequence, a name's length or OpenSSH's magic can begin, three dotted parts.
+#: a sequence or OpenSSH's magic can begin, three dotted parts.
 _HEX_RUN = re.compile(r"[0-9A-Fa-f]{64,}")
-_KEY_START = r"(?:M[A-P]|AAAA|b3BlbnNzaC1rZXktdjEA)"
+_KEY_START = r"(?:M[A-P]|b3BlbnNzaC1rZXktdjEA)"
 _STARTS = tuple(
     (re.compile(rf"(?:(?<![{before}])|(?<=\\[nr])){_KEY_START}"), re.compile(rf"[{inside}]+"))
     for before, inside in (("A-Za-z0-9+/", "A-Za-z0-9+/"), ("A-Za-z0-9_", "A-Za-z0-9_-"))
 )
 #: Between lines of base64: a line break or a written one (as in JSON), and indentation.
 _BREAK = re.compile(r"(?:\r?\n|(?:\\+r)?\\+n)[ \t]*")
-_LEAST_CHARS = 40
+#: Base64 of the least and of the longest key (an SSH key of 16,384 bits has 13,000).
+_LEAST_CHARS, _MOST_CHARS = 40, 65_536
 _DOTTED = re.compile(r"[A-Za-z0-9_-]{16,}\.[A-Za-z0-9_-]{2,}\.[A-Za-z0-9_-]*")
-_NAME = re.compile(rb"(?:ssh|ecdsa|sk)-[a-z0-9@.-]+")
+_SSH_NAME = b"openssh-key-v1\0"
 #: DER tags that occur in key encodings: integer, bit string, octet string, null,
 #: object identifier, strings, sequence, set and the first context tags.
 _TAGS = {0x02, 0x03, 0x04, 0x05, 0x06, 0x0C, 0x13, 0x16, 0x30, 0x31, 0xA0, 0xA1, 0xA2, 0xA3}
@@ -86,31 +87,53 @@ def _nested(data: bytes, at: int, end: int, depth: int = 0) -> int | None:
     return found
 
 
+def _private(data: bytes, at: int, end: int) -> bool:
+    """Whether a sequence's elements are those of a private key.
+
+    PKCS#1, PKCS#8 and SEC1 begin with a version (0 or 1), an encrypted PKCS#8 key is
+    an algorithm and an octet string. Public keys (a modulus, or an algorithm and a
+    bit string) and certificates begin otherwise.
+    """
+    first = _der_item(data, at, end)
+    if first is None:
+        return False
+    tag, a, b = first
+    if tag == 0x02:
+        return data[a:b] in (b"\0", b"\1") and b < end
+    second = _der_item(data, b, end)
+    return tag == 0x30 and second is not None and second[0] == 0x04 and second[2] == end
+
+
 def der_key(data: bytes) -> int | None:
-    """Bytes of a key encoding at the start of ``data``: a sequence whose nested
+    """Bytes of a private key's encoding at the start of ``data``: a sequence whose nested
     lengths all fit and that holds an integer or identifier; zero padding may follow."""
     if not data or data[0] != 0x30:
         return None
     item = _der_item(data, 0, len(data))
-    if item is None or item[2] < 32:
+    if item is None or item[2] < 32 or not _private(data, item[1], item[2]):
         return None
     return item[2] if _nested(data, item[1], item[2]) and not data[item[2] :].strip(b"\0") else None
 
 
 def ssh_key(data: bytes) -> bool:
-    """A chain of fields with 4-byte lengths, the first a key type's name."""
-    if data.startswith(b"openssh-key-v1\0"):
-        return True
-    at, fields = 0, 0
-    while at < len(data):
+    """A private key file: its name, then fields with 4-byte lengths that all fit
+    (cipher, derivation and its options, the public keys, the private part)."""
+    at = len(_SSH_NAME)
+    if not data.startswith(_SSH_NAME):
+        return False
+    left = 3
+    counted = False
+    while left:
         if at + 4 > len(data):
             return False
-        size = struct.unpack(">I", data[at : at + 4])[0]
-        if at + 4 + size > len(data) or (fields == 0 and not _NAME.fullmatch(data[4 : 4 + size])):
-            return False
-        at += 4 + size
-        fields += 1
-    return fields >= 2
+        at += 4 + struct.unpack(">I", data[at : at + 4])[0]
+        left -= 1
+        if not left and not counted:
+            if at + 4 > len(data):
+                return False
+            keys = struct.unpack(">I", data[at : at + 4])[0]
+            at, left, counted = at + 4, min(keys, len(data)) + 1, True
+    return at <= len(data)
 
 
 def _decode64(text: str) -> bytes | None:
@@ -151,29 +174,23 @@ def _key_at(text: str, at: int, line: re.Pattern) -> tuple[int, str] | None:
     """End and kind of a key whose base64 begins at ``at``.
 
     The length in a sequence's header says how many lines it has: text below a
-    key may look like one more line. An SSH key is one line or the whole run.
+    key may look like one more line. An SSH key ends with the line that completes it.
     """
-    need, last = -1, None
-    for n, (found, end) in enumerate(_lines_from(text, at, line)):
-        if text[at] == "M":
-            if need < 0 and len(found) >= 8:
-                need = -(-_der_length(_decode64(found[:8]) or b"") * 4 // 3)
-            if need == 0:
-                return None
-            if 0 < need <= len(found):
-                data = _decode64(found)
-                return (end, "der") if len(found) >= _LEAST_CHARS and data and der_key(data) else None
-            continue
-        if n == 0:
-            head = _decode64(found[: len(found) // 4 * 4][:80]) or b""
-            size = int.from_bytes(head[:4], "big")
-            if text[at] == "A" and not _NAME.match(head[4 : 4 + size]):
-                return None
-            if len(found) >= _LEAST_CHARS and ssh_key(_decode64(found) or b"") and text[at] == "A":
+    need = -1
+    for found, end in _lines_from(text, at, line):
+        if len(found) > _MOST_CHARS:
+            return None
+        if text[at] == "b":
+            if len(found) >= _LEAST_CHARS and ssh_key(_decode64(found) or b""):
                 return end, "ssh"
-        last = found, end
-    if last and len(last[0]) >= _LEAST_CHARS and ssh_key(_decode64(last[0]) or b""):
-        return last[1], "ssh"
+            continue
+        if need < 0 and len(found) >= 8:
+            need = -(-_der_length(_decode64(found[:8]) or b"") * 4 // 3)
+        if need == 0:
+            return None
+        if 0 < need <= len(found):
+            data = _decode64(found)
+            return (end, "der") if len(found) >= _LEAST_CHARS and data and der_key(data) else None
     return None
 
 

@@ -16,7 +16,20 @@ def tlv(tag, *parts):
 
 
 RSA = tlv(0x30, tlv(2, b"\0"), *[tlv(2, bytes([k + 1]) * 40) for k in range(5)])
-SSH = b"".join(struct.pack(">I", len(x)) + x for x in (b"ssh-rsa", b"\1\0\1", b"\7" * 60))
+
+
+def fields(*parts):
+    return b"".join(struct.pack(">I", len(x)) + x for x in parts)
+
+
+SSH_PUBLIC = fields(b"ssh-rsa", b"\1\0\1", b"\7" * 60)
+SSH = b"openssh-key-v1\0" + fields(b"none", b"none", b"") + struct.pack(">I", 1) + fields(SSH_PUBLIC, b"\3" * 90)
+OID = tlv(0x30, tlv(6, b"\x2a\x86\x48\x86\xf7\x0d\1\1\1"), tlv(5))
+PKCS8 = tlv(0x30, tlv(2, b"\0"), OID, tlv(4, RSA))
+ENCRYPTED = tlv(0x30, OID, tlv(4, b"\x55" * 80))
+PUBLIC = tlv(0x30, OID, tlv(3, b"\0" + tlv(0x30, tlv(2, b"\7" * 64), tlv(2, b"\1\0\1"))))
+PUBLIC_RSA = tlv(0x30, tlv(2, b"\7" * 64), tlv(2, b"\1\0\1"))
+CERTIFICATE = tlv(0x30, tlv(0x30, tlv(2, b"\1"), OID, PUBLIC), OID, tlv(3, b"\0" + b"\x99" * 64))
 
 
 def b64(data, url=False):
@@ -33,13 +46,24 @@ def kinds(text):
 def test_structures():
     assert kinds(f"x {b64(RSA)} y") == [("der", b64(RSA))]
     assert kinds(f"key {RSA.hex()}.") == [("der", RSA.hex())]
-    assert kinds(f"ssh-rsa {b64(SSH)} me") == [("ssh", b64(SSH))]
+    assert kinds(f"key: {b64(SSH)} me") == [("ssh", b64(SSH))]
+    assert kinds(f"key: {SSH.hex()} me") == [("ssh", SSH.hex())]
+    for key in (PKCS8, ENCRYPTED):
+        assert kinds(f"key: {b64(key)} me") == [("der", b64(key))]
     assert kinds(f"Bearer {TOKEN};") == [("jwt", TOKEN)]
     lines = "\n".join(re.findall(".{1,64}", b64(RSA)))
     assert kinds(f"-----BEGIN RSA PRIVATE KEY-----\n{lines}\n-----END") == [("der", lines)]
     assert kinds(f"{lines}\nThe") == [("der", lines)]
 
 
+def test_public_keys_and_certificates_are_no_secrets():
+    for data in (PUBLIC, PUBLIC_RSA, CERTIFICATE):
+        lines = "\n".join(re.findall(".{1,64}", b64(data)))
+        assert kinds(f"-----BEGIN PUBLIC KEY-----\n{lines}\n-----END PUBLIC KEY-----") == []
+        assert kinds(f"{data.hex()} {b64(data)}") == []
+    assert kinds(f"ssh-rsa {b64(SSH_PUBLIC)} me") == [] and kinds(SSH_PUBLIC.hex()) == []
+
+
 def test_broken_structures_are_not_reported():
     short = bytearray(RSA)
     short[4] ^= 0xFF
@@ -93,5 +117,5 @@ def test_keys_in_written_lines_short_lines_and_the_url_alphabet():
         assert {"-", "_"} & set(spelt)
         assert kinds(f"k={spelt};") == [("der", spelt)]
     assert not {"-", "_"} & set(b64(late, True)[:40])
-    assert kinds(f"ssh-rsa {b64(SSH)}\nssh-rsa {b64(SSH)}") == [("ssh", b64(SSH))] * 2
+    assert kinds(f"one {b64(SSH)}\ntwo {b64(SSH)}") == [("ssh", b64(SSH))] * 2
     assert kinds("MAAA\n" * 20000 + "Most\nAn\n" * 20000 + "AAAAB3NzaC1yc2E\n" * 300) == []
