@@ -74,8 +74,8 @@ def _bags(batches):
             keys.append(k.astype(np.int32))
             counts.append(np.minimum(n, 32767).astype(np.int16))
         yield pa.RecordBatch.from_arrays(
-            [batch.column("label"), pa.array(keys, pa.list_(pa.int32())), pa.array(counts, pa.list_(pa.int16()))],
-            names=["label", "keys", "counts"],
+            [batch.column("label"), batch.column("doc_id"), batch.column("print"), pa.array(keys, pa.list_(pa.int32())), pa.array(counts, pa.list_(pa.int16()))],
+            names=["label", "doc_id", "print", "keys", "counts"],
         )
 
 
@@ -135,8 +135,9 @@ def train(docs: DataFrame, labels: DataFrame, usable: Column | None = None) -> M
     """Fit on the rows of ``labels`` (``doc_id``, ``toxic``) that ``usable`` admits.
 
     Null labels and rows without a document are left out; a doc_id with several
-    labels or texts counts once for each pair. Only bags of subwords of the
-    bounded sample reach the driver. Without any labelled row the model scores
+    labels or texts counts once for each pair. The sample is bounded after labels met
+    their texts, one row for each pair, so a doc_id repeated without end adds no more
+    than the bound; only bags of subwords of the sample reach the driver. Without any labelled row the model scores
     everything alike, by a share of one half.
     """
     spark = docs.sparkSession
@@ -152,8 +153,17 @@ def train(docs: DataFrame, labels: DataFrame, usable: Column | None = None) -> M
     for label, most in ((1, SAMPLE_TOXIC), (0, SAMPLE_CLEAN)):
         part = ranked.where(F.col("label") == label).orderBy("h", "doc_id").limit(most)
         picked = part if picked is None else picked.union(part)
-    sample = docs.select("doc_id", "text").join(F.broadcast(picked), "doc_id").select("label", "text")
-    bags = sample.mapInArrow(_bags, "label int, keys array<int>, counts array<smallint>").toArrow()
+    given = docs.select("doc_id", "text", F.xxhash64("text").alias("print"))
+    met = given.select("doc_id", "print").join(F.broadcast(picked.distinct()), "doc_id").distinct()
+    bounded = None
+    for label, most in ((1, SAMPLE_TOXIC), (0, SAMPLE_CLEAN)):
+        part = met.where(F.col("label") == label).orderBy("h", "doc_id", "print").limit(most).drop("h")
+        bounded = part if bounded is None else bounded.union(part)
+    sample = given.join(F.broadcast(bounded), ["doc_id", "print"]).select("label", "doc_id", "print", "text")
+    kind = docs.schema["doc_id"].dataType.simpleString()
+    bags = sample.mapInArrow(_bags, f"label int, doc_id {kind}, print long, keys array<int>, counts array<smallint>")
+    one = F.first(F.struct("keys", "counts")).alias("bag")
+    bags = bags.groupBy("label", "doc_id", "print").agg(one).select("label", "bag.keys", "bag.counts").toArrow()
     got = bags.column("label").to_numpy().astype(np.int64)
     keys = [np.asarray(x.values) for x in bags.column("keys")]
     counts = [np.asarray(x.values) for x in bags.column("counts")]

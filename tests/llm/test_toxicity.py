@@ -71,3 +71,17 @@ def test_folding_equals_the_softmax():
     logits = m.vectors[found].mean(0) @ m.output + m.bias
     folded, bias = m.folded()
     assert abs((logits[1] - logits[0]) - (folded[found].mean(dtype=float) + bias)) < 1e-5
+
+
+def test_a_repeated_document_adds_one_row(spark, monkeypatch):
+    """The sample is bounded after the join: copies of a row reach the driver once."""
+    rows = [(k, f"word{k} other{k % 3} text") for k in range(20)] + [(3, "word3 other0 text")] * 500 + [(4, f"text number {k}") for k in range(300)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    labels = spark.createDataFrame([(k, k % 2) for k in range(20)] + [(3, 1)] * 5, "doc_id long, toxic int")
+    seen = []
+    monkeypatch.setattr(toxicity, "fit", lambda got, keys, counts, share: seen.append((list(got), len(keys))))
+    toxicity.train(docs, labels)
+    assert seen[-1][1] == 10 + 9 + 301
+    monkeypatch.setattr(toxicity, "SAMPLE_CLEAN", 15)
+    toxicity.train(docs, labels)
+    assert seen[-1][0].count(0) == 15 and seen[-1][0].count(1) == 10
