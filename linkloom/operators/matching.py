@@ -13,6 +13,7 @@ from pyspark.sql import functions as F
 from linkloom.functions import text as tx
 from linkloom.functions import urls
 from linkloom.functions.let import let
+from linkloom.session import cut_lineage
 
 # --- fixed values -----------------------------------------------------------
 MIN_SOURCE_WORDS = 50
@@ -179,11 +180,9 @@ def phrase_hits(bodies: DataFrame, phrases: DataFrame) -> DataFrame:
         "project_id", "phrase", F.explode(_block_keys(F.col("phrase"))).alias("_key")
     )
     wanted = phrase_keys.select("project_id", "_key").distinct()
-    frequency = (
-        body_keys.join(wanted, ["project_id", "_key"], "left_semi")
-        .groupBy("project_id", "_key")
-        .agg(F.count("*").alias("_bodies"))
-    )
+    # The inverted index: made in one pass over the bodies, read by both steps below.
+    index = cut_lineage(body_keys.join(wanted, ["project_id", "_key"], "left_semi"), "body-keys")
+    frequency = index.groupBy("project_id", "_key").agg(F.count("*").alias("_bodies"))
     # A phrase with a key found in no body cannot occur at all.
     rarest = (
         phrase_keys.join(frequency, ["project_id", "_key"], "left")
@@ -193,7 +192,7 @@ def phrase_hits(bodies: DataFrame, phrases: DataFrame) -> DataFrame:
         .filter(F.col("_best._bodies") > 0)
         .select("project_id", "phrase", F.col("_best._key").alias("_key"))
     )
-    candidates = body_keys.join(rarest, ["project_id", "_key"]).select(
+    candidates = index.join(rarest, ["project_id", "_key"]).select(
         "project_id", "body_id", "phrase"
     )
     lowered = bodies.withColumn("_lower", F.lower(F.col("body")))

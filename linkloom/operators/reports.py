@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from linkloom.functions import scoring
+from linkloom.operators import review
 
 # --- fixed values -----------------------------------------------------------
 UNLIMITED_PLANS = ("pro", "enterprise")
@@ -123,3 +124,8 @@ def embedding_estimate(split: DataFrame) -> DataFrame:
 
 def article_count(articles: DataFrame) -> DataFrame:
     return articles.groupBy("project_id").agg(F.count("*").alias("articles"))
+
+
+def export_count(recs: DataFrame, **filters) -> DataFrame:
+    """How many rows an export with these filters (see ``rec_filter``) has: one row."""
+    return review.rec_filter(recs, **filters).agg(F.count("*").alias("rows"))

@@ -560,6 +560,14 @@ def _quota(spark, sf):
     )
 
 
+@query(
+    "export_count",
+    w("recs", 'SELECT count(*) AS "rows" FROM recs WHERE severity = \'warning\' AND status = \'pending\''),
+)
+def _export_count(spark, sf):
+    return reports.export_count(i.order_recs(spark, sf), severity="warning", status="pending")
+
+
 @query("article_count", w("docs", "SELECT project_id, count(*) AS articles FROM docs GROUP BY 1"))
 def _count(spark, sf):
     return reports.article_count(i.document_articles(spark, sf))

@@ -235,7 +235,7 @@ sim AS (SELECT a.project_id, a.article_id AS source_id, b.article_id AS target_i
   FROM edocs a JOIN edocs b ON a.project_id = b.project_id AND a.doc_id <> b.doc_id
   WHERE a.embedding IS NOT NULL AND b.embedding IS NOT NULL),
 near AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY source_id ORDER BY similarity DESC, target_id)
-  AS rank FROM sim WHERE similarity >= 0.3) WHERE rank <= 20),
+  AS rank FROM sim WHERE similarity >= 0.3) WHERE rank <= 20 AND (CAST(source_id AS BIGINT) + CAST(target_id AS BIGINT)) % 3 <> 0),
 open AS (SELECT n.* FROM near n JOIN docs s ON s.article_id = n.source_id JOIN docs t ON t.article_id = n.target_id
   WHERE (s.http_status IS NULL OR s.http_status < 400) AND s.word_count >= 50 AND NOT t.noindex
   AND (t.http_status IS NULL OR t.http_status < 400))"""
@@ -244,9 +244,10 @@ open AS (SELECT n.* FROM near n JOIN docs s ON s.article_id = n.source_id JOIN d
 def _semantic_rows(spark, sf):
     docs = i.embedded_documents(spark, sf)
     sources = matching.source_guards(docs)
-    none = spark.createDataFrame([], "project_id string, source_id string, target_id string")
-    similar = vectors.similar_articles(docs, vectors.STRATEGY_K, 0.3)
-    return semantic.semantic_targets(similar, sources, matching.eligible_targets(docs), none)
+    similar = cut_lineage(vectors.similar_articles(docs, vectors.STRATEGY_K, 0.3), "similar")
+    # A third of the similar pairs, as if keyword matching had found them.
+    known = similar.filter((F.col("source_id").cast("bigint") + F.col("target_id").cast("bigint")) % 3 == 0)
+    return semantic.semantic_targets(similar, sources, matching.eligible_targets(docs), known)
 
 
 # Anchors are never empty here, so the rows are those of the guards.
@@ -284,14 +285,10 @@ def _semantic_fill(spark, sf):
       "SELECT source_id, target_id FROM recs WHERE matching_approach = 'keyword'"),
 )
 def _except(spark, sf):
-    recs = i.order_recs(spark, sf)
-    keyword = recs.filter(F.col("matching_approach") == "keyword").select("source_id", "target_id")
-    return (
-        recs.filter(F.col("matching_approach") == "semantic")
-        .select("source_id", "target_id")
-        .distinct()
-        .join(keyword, ["source_id", "target_id"], "left_anti")
-    )
+    recs = i.order_recs(spark, sf).withColumn("project_id", F.lit("all"))
+    approach = F.col("matching_approach")
+    left = semantic.without_keyword(recs.filter(approach == "semantic"), recs.filter(approach == "keyword"))
+    return left.select("source_id", "target_id").distinct()
 
 
 # --- the strategy ---------------------------------------------------------------------------------

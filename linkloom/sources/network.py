@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from linkloom.functions import scoring, urls
 from linkloom.functions import text as tx
+from linkloom.session import cut_lineage
 
 
 def robots_rules(robots: DataFrame) -> DataFrame:
@@ -61,8 +62,10 @@ def robots_allowed(url_rows: DataFrame, rules: DataFrame, agent: str) -> DataFra
     """Adds allowed and crawl_delay to URL rows.
 
     The first group naming the agent applies, else the first for ``*``; the
-    longest matching path decides, the first on ties. Rules stay packed per
-    domain, so a URL row is never multiplied by its domain's rules.
+    longest matching path decides, the first on ties. Rules are an index by domain
+    and path: a URL path asks it for its beginnings of the lengths that the domain's
+    rules have, in an equi-join, so a domain with very many rules is no walk for each
+    URL. Each distinct (domain, path) is asked once.
     """
     exact = F.array_contains("agents", agent.lower())
     star = F.array_contains("agents", "*")
@@ -75,21 +78,33 @@ def robots_allowed(url_rows: DataFrame, rules: DataFrame, agent: str) -> DataFra
                 F.struct(F.when(exact, 0).otherwise(1), F.col("group_id")),
             ).alias("_group")
         )
-        .withColumnRenamed("domain", "_domain")
+        .select(
+            F.col("domain").alias("_domain"),
+            F.col("_group.rules").alias("_rules"),
+            F.col("_group.crawl_delay").alias("crawl_delay"),
+            F.array_distinct(F.transform("_group.rules", lambda r: F.length(r["path"]))).alias("_lengths"),
+        )
+    )
+    chosen = cut_lineage(chosen, "robots-groups")
+    index = (
+        chosen.select("_domain", F.explode("_rules").alias("_r"))
+        .groupBy("_domain", F.col("_r.path").alias("_beginning"))
+        .agg(F.min(F.struct("_r.ord", "_r.allow")).alias("_first"))
     )
-    path = urls.path_of(F.col("url"))
-    hits = F.transform(
-        F.filter("_group.rules", lambda r: F.startswith(F.col("_path"), r["path"])),
-        lambda r: F.struct(
-            F.length(r["path"]).alias("n"), (-r["ord"]).alias("o"), r["allow"].alias("allow")
-        ),
+    asked = url_rows.withColumns({"_domain": urls.host_of(F.col("url")), "_path": urls.path_of(F.col("url"))})
+    paths = asked.select("_domain", "_path").distinct().join(chosen.select("_domain", "_lengths"), "_domain")
+    fitting = F.filter("_lengths", lambda n: n <= F.length("_path"))
+    decided = (
+        paths.select("_domain", "_path", F.explode(F.transform(fitting, lambda n: F.substring("_path", F.lit(1), n))).alias("_beginning"))
+        .join(index, ["_domain", "_beginning"])
+        .groupBy("_domain", "_path")
+        .agg(F.max(F.struct(F.length("_beginning").alias("n"), (-F.col("_first.ord")).alias("o"), F.col("_first.allow").alias("allow"))).alias("_best"))
+        .select("_domain", "_path", F.col("_best.allow").alias("allowed"))
     )
     return (
-        url_rows.withColumns({"_domain": urls.host_of(F.col("url")), "_path": path})
-        .join(chosen, "_domain", "left")
-        .withColumn("allowed", F.coalesce(F.array_max(hits)["allow"], F.lit(True)))
-        .withColumn("crawl_delay", F.col("_group.crawl_delay"))
-        .drop("_domain", "_path", "_group")
+        asked.join(chosen.select("_domain", "crawl_delay"), "_domain", "left")
+        .join(decided, ["_domain", "_path"], "left")
+        .select(*url_rows.columns, F.coalesce("allowed", F.lit(True)).alias("allowed"), "crawl_delay")
     )
 
 

@@ -106,3 +106,29 @@ def test_cut_sitemap_keeps_its_leading_urls(spark, monkeypatch):
     monkeypatch.setattr(sitemaps, "MAX_CHARS", len(text) // 2)
     got = [r.url for r in sitemaps.sitemap_urls(sitemaps.sitemap_index_expand(docs, roots)).orderBy("pos").collect()]
     assert 40 < len(got) < 50 and got == [f"https://e.com/{k}" for k in range(len(got))]
+
+
+def test_a_domain_of_many_rules(spark):
+    """The index answers as a walk over all rules does."""
+    import random
+
+    rng = random.Random(5)
+    paths = list({"/" + "/".join(rng.choices(["a", "b", "cc", "d1"], k=rng.randint(1, 9))) for _ in range(4000)})
+    lines = ["User-agent: *", "Crawl-delay: 2"] + [f"{rng.choice(['Allow', 'Disallow'])}: {p}" for p in paths + paths[:50]]
+    rules = network.robots_rules(
+        spark.createDataFrame([("e.com", "\n".join(lines)), ("f.com", "User-agent: other\nDisallow: /")], "domain string, robots_txt string")
+    )
+    asked = ["/" + "/".join(rng.choices(["a", "b", "cc", "d1", "x"], k=rng.randint(1, 12))) for _ in range(300)]
+    rows = [(f"https://e.com{p}", k) for k, p in enumerate(asked + asked[:20])] + [("https://f.com/a", 1), ("https://none.com/a", 2), (None, 3)]
+    got = network.robots_allowed(spark.createDataFrame(rows, "url string, n int"), rules, "bot").collect()
+
+    def allowed(path):
+        best = None
+        for k, line in enumerate(lines[2:]):
+            kind, rule = line.split(": ")
+            if path.startswith(rule) and (best is None or (len(rule), -k) > best[:2]):
+                best = (len(rule), -k, kind == "Allow")
+        return best is None or best[2]
+
+    want = [(u, n, allowed(u[13:]) if u and u.startswith("https://e.com") else True, 2.0 if u and u.startswith("https://e.com") else None) for u, n in rows]
+    assert sorted(((r.url or "", r.n, r.allowed, r.crawl_delay) for r in got), key=repr) == sorted(((u or "", *w) for u, *w in want), key=repr)
