@@ -95,6 +95,18 @@ def template(path: Column, tokens: Column) -> Column:
     return F.transform(F.split(path, "/"), general)
 
 
+def beginnings(segments: Column) -> Column:
+    """Hashes of the beginnings of a template, each with the one above it. A hash is made
+    of the one above and the next segment, so the work is in proportion to the depth."""
+    start = F.struct(F.lit(0).cast("bigint").alias("last"), F.array().cast("array<struct<own:bigint,above:bigint>>").alias("all"))
+
+    def grow(a: Column, s: Column) -> Column:
+        h = F.xxhash64(a["last"], s)
+        return F.struct(h.alias("last"), F.concat(a["all"], F.array(F.struct(h.alias("own"), a["last"].alias("above")))).alias("all"))
+
+    return F.aggregate(segments, start, grow)["all"]
+
+
 def judged_templates(counts: DataFrame) -> DataFrame:
     """``(host, template, branch, block)`` from ``(host, template, n, bad)``, the
     labelled and the bad pages of each template.
@@ -105,12 +117,10 @@ def judged_templates(counts: DataFrame) -> DataFrame:
     to its deepest own branch (else to the host's), and a branch is rejected by
     the smoothed share of its pages.
     """
-    text = lambda parts: F.array_join(parts, "/")
-    depths = F.sequence(F.lit(1), F.size("template"))
-    nodes = (
-        counts.select("host", "n", "bad", F.explode(F.transform(depths, lambda d: F.struct(d.alias("depth"), text(F.slice("template", 1, d)).alias("node"), text(F.slice("template", 1, d - 1)).alias("parent")))).alias("x"))
-        .groupBy("host", "x.depth", "x.node", "x.parent")
-        .agg(F.sum("n").cast("double").alias("n"), F.sum("bad").cast("double").alias("bad"))
+    below = F.posexplode(beginnings(F.col("template"))).alias("at", "node")
+    spots = counts.select("host", "template", "n", "bad", below).withColumn("depth", F.col("at") + 1)
+    nodes = spots.groupBy("host", "depth", F.col("node.own").alias("node"), F.col("node.above").alias("parent")).agg(
+        F.sum("n").cast("double").alias("n"), F.sum("bad").cast("double").alias("bad")
     )
     nodes = cut_lineage(nodes, "url-nodes")
     above = nodes.select("host", (F.col("depth") + 1).alias("depth"), F.col("node").alias("parent"), F.col("n").alias("pn"), F.col("bad").alias("pbad"))
@@ -119,12 +129,13 @@ def judged_templates(counts: DataFrame) -> DataFrame:
     own = (
         nodes.join(above, ["host", "depth", "parent"])
         .where(cross * cross * pn > F.lit(DIFFER) * n * (pn - n) * pbad * (pn - pbad))
-        .select("host", "depth", F.col("node").alias("prefix"))
+        .select("host", "depth", "node")
     )
-    spots = counts.select("host", "template", "n", "bad", F.explode(F.transform(depths, lambda d: F.struct(d.alias("depth"), text(F.slice("template", 1, d)).alias("prefix")))).alias("x")).select("host", "template", "n", "bad", "x.*")
-    found = spots.join(own.withColumn("own", F.lit(True)), ["host", "depth", "prefix"], "left")
-    branch = F.max(F.when(F.col("own"), F.struct("depth", "prefix")))
-    placed = found.groupBy("host", "template").agg(F.first("n").alias("n"), F.first("bad").alias("bad"), F.coalesce(branch["prefix"], F.lit("")).alias("branch"))
+    found = spots.select("host", "template", "n", "bad", "depth", F.col("node.own").alias("node")).join(own.withColumn("own", F.lit(True)), ["host", "depth", "node"], "left")
+    deepest = F.max(F.when(F.col("own"), F.col("depth")))
+    placed = found.groupBy("host", "template").agg(F.first("n").alias("n"), F.first("bad").alias("bad"), F.coalesce(deepest, F.lit(0)).alias("deepest"))
+    branch = F.array_join(F.slice("template", F.lit(1), F.col("deepest")), "/")
+    placed = placed.select("host", "template", "n", "bad", branch.alias("branch"))
     placed = cut_lineage(placed, "url-placed")
     totals = placed.groupBy("host", "branch").agg(F.sum("n").alias("n"), F.sum("bad").alias("bad"))
     verdicts = totals.select("host", "branch", ((F.col("bad") + 1) * 100 >= (F.col("n") + 2) * REJECT_PERCENT).alias("block"))

@@ -59,3 +59,15 @@ def test_odd_rows(spark):
     assert got == [(0, "h", "block"), (1, "", "allow"), (1, "", "allow"), (2, "h", "block"), (3, "", "allow"), (4, "x.com", "block")]
     assert u.judge(pages.limit(0), labels).count() == 0
     assert u.judge(pages, labels.limit(0)).count() == len(rows)
+
+
+def test_very_deep_paths(spark):
+    """Thousands of segments are judged by hashes of their beginnings, not by texts."""
+    import time
+
+    deep = "https://a.com/" + "/".join(f"s{k}" for k in range(6000))
+    pages = spark.createDataFrame([(k, f"{deep}/{k}") for k in range(3)] + [(9, "https://a.com/x")], "page_id long, url string")
+    bad = spark.createDataFrame([(0, 1), (1, 0)], "page_key long, bad int")
+    start = time.time()
+    rows = u.judge(pages, bad).collect()
+    assert len(rows) == 4 and all(r.host == "a.com" for r in rows) and time.time() - start < 60
