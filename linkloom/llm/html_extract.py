@@ -11,114 +11,132 @@ from pyspark.sql import functions as F
 
 from linkloom.llm.base import annotate, register, table
 
-#: Never content, wherever they stand.
-SILENT = {"script", "style", "noscript", "template", "head", "title", "nav", "footer", "aside", "form", "select", "textarea", "button", "iframe", "object", "svg", "canvas", "audio", "video", "dialog", "menu"}
-#: Words of class, id or role that mark what is no part of the article.
+#: Never shown as text, wherever they stand.
+SILENT = {"script", "style", "noscript", "template", "head", "title", "select", "textarea", "button", "iframe", "object", "svg", "canvas", "audio", "video"}
+#: Elements whose name says that they are no part of the article (``header``: outside one).
+ASIDE = {"nav", "footer", "aside", "form", "dialog", "menu"}
+#: Words of class, id or role that say the same.
 MARKS = {"ad", "ads", "advert", "adverts", "advertisement", "advertising", "adsense", "banner", "sponsor", "sponsored", "promo", "sidebar", "menu", "nav", "navbar", "navigation", "breadcrumb", "breadcrumbs", "header", "masthead", "footer", "contentinfo", "complementary", "cookie", "cookies", "consent", "gdpr", "notice", "notices", "alert", "popup", "modal", "overlay", "newsletter", "subscribe", "login", "signup", "search", "comment", "comments", "commentlist", "disqus", "respond", "share", "sharing", "social", "related", "recommended", "widget", "pagination", "pager", "skip", "hidden"}
+#: Words that may stand beside them in one name (``site-footer``, ``comment-list``).
+BESIDE = {"site", "page", "top", "bottom", "left", "right", "list", "box", "bar", "wrap", "wrapper", "container", "area", "block", "inner", "outer", "link", "links", "button", "buttons", "posts", "articles", "section", "global", "primary", "secondary", "form", "slot", "unit", "message", "text", "reader", "user", "to", "us"}
+HEADINGS = {"h1", "h2", "h3", "h4", "h5", "h6", "hgroup"}
 #: Elements that begin and end a block of text.
-BLOCKS = {"address", "article", "blockquote", "body", "caption", "center", "dd", "details", "div", "dl", "dt", "fieldset", "figcaption", "figure", "h1", "h2", "h3", "h4", "h5", "h6", "header", "hgroup", "hr", "html", "legend", "li", "main", "ol", "p", "pre", "section", "summary", "table", "tbody", "td", "tfoot", "th", "thead", "tr", "ul"} | SILENT
+BLOCKS = {"address", "article", "blockquote", "body", "caption", "center", "dd", "details", "div", "dl", "dt", "fieldset", "figcaption", "figure", "header", "hr", "html", "legend", "li", "main", "ol", "p", "pre", "section", "summary", "table", "tbody", "td", "tfoot", "th", "thead", "tr", "ul"} | SILENT | ASIDE | HEADINGS
 VOID = {"area", "base", "br", "col", "embed", "hr", "img", "input", "link", "meta", "param", "source", "track", "wbr"}
 #: An open element of the value ends when the key starts.
 ENDS = {"li": {"li"}, "dt": {"dt", "dd"}, "dd": {"dt", "dd"}, "tr": {"tr", "td", "th"}, "td": {"td", "th"}, "th": {"td", "th"}, "option": {"option"}}
 #: An end tag or an implied end doesn't reach beyond these.
 FENCES = {"article", "main", "body", "table", "td", "th", "div", "section", "ul", "ol", "dl", "blockquote", "html"}
 BODIES = {"article", "main"}
-#: Neighbours directly below ``body`` that make one region together.
-FLOW = {"p", "h1", "h2", "h3", "h4", "h5", "h6", "hgroup", "blockquote", "pre", "hr"}
+#: Elements that make a region of the lines inside them.
+REGIONS = {"div", "section", "article", "main", "header", "table", "ul", "ol", "dl", "details", "center", "fieldset", "figure"} | ASIDE
 SIGMA = 1.5
-#: An ``article`` or ``main`` counts as so many times as dense as it is.
+#: An ``article`` or ``main`` counts as so many times as dense as it is, a doubted region as so much less.
 BODY_WEIGHT = 2
-#: Clusters of regions whose (geometric) means lie closer than this are one cluster.
+DOUBT_WEIGHT = 1 / 8
+#: Clusters of regions whose (geometric) means lie closer than this are one cluster;
+#: among the parts of a chosen region they must lie farther apart.
 APART = 4
+APART_INSIDE = 64
 
 
-def _marked(tag: str, attrs: list, inside: bool) -> bool:
-    """Whether an element is left out by its name or marks."""
-    if tag in SILENT or (tag == "header" and not inside):
+def _named_so(name: str) -> bool:
+    """Whether a class, id or role is made of marks (and words beside them) alone."""
+    words = re.findall("[a-z]+", name.lower())
+    return not MARKS.isdisjoint(words) and MARKS.union(BESIDE).issuperset(words)
+
+
+def _doubted(tag: str, attrs: list, inside: bool) -> bool:
+    """Whether an element's name or marks say that it isn't part of the article.
+
+    Only whole names count: ``search-engines`` or ``entry-header`` are no marks.
+    Headings and an outermost ``article`` or ``main`` are never doubted for a mark.
+    """
+    if tag in ASIDE or (tag == "header" and not inside):
         return True
-    if tag in ("html", "body", "article", "main"):
-        names = {"class"}
-    else:
-        names = {"class", "id", "role"}
+    spared = tag in ("html", "body", "main", "header") or tag in HEADINGS or (tag == "article" and not inside)
     for name, value in attrs:
         if name == "hidden" or (name == "aria-hidden" and value == "true"):
             return True
-        if name in names and value and not MARKS.isdisjoint(re.findall("[a-z]+", value.lower())):
-            return tag not in ("html", "body", "main")
+        if not spared and name in ("class", "id", "role") and value and any(_named_so(v) for v in value.split()):
+            return True
     return False
 
 
 class _Lines(HTMLParser):
-    """Lines of a page: text of one block, tags it took, and its region.
+    """Lines of a page: text of one block, share of it inside links, the tags it took, its region.
 
-    A region is an outermost ``article`` or ``main``, or else the element below
-    ``body`` that a line stands in. Paragraphs, headings and loose text that
-    follow each other directly below ``body`` are one region; 0 stands for none.
+    Regions are the tree of the elements in ``REGIONS``, numbered from 1 so that a
+    region comes after its parent; 0 is the page. A doubted element is a region
+    too, whatever its name; what is inside it makes no further regions.
     """
 
     def __init__(self) -> None:
         super().__init__(convert_charrefs=True)
         self.open: list[tuple[str, bool, int]] = []  # name, left out, region
-        self.lines: list[tuple[str, int, int]] = []
-        self.bodies: set[int] = set()
-        self.regions = 0
-        self.flow = 0  # region of the paragraphs below body that are going on
+        self.at: dict[str, list[int]] = {}  # places of a name in open
+        self.fences: list[int] = []  # places of fences in open
+        self.lines: list[tuple[str, float, int, int]] = []
+        self.parent = [0]
+        self.bodies: list[bool] = [False]  # in an article or main
+        self.doubted: list[bool] = [False]
         self.text: list[str] = []
+        self.linked = 0
         self.tags = 0
 
     def flush(self) -> None:
         text = " ".join("".join(self.text).split())
         if text:
             region = self.open[-1][2] if self.open else 0
-            self.lines.append((text, self.tags, region or self._flowing()))
+            self.lines.append((text, self.linked / (len(text) - text.count(" ")), self.tags, region))
             self.tags = 0
         self.text = []
+        self.linked = 0
 
-    def _flowing(self) -> int:
-        if not self.flow:
-            self.regions += 1
-            self.flow = self.regions
-        return self.flow
+    def _push(self, tag: str, out: bool, region: int) -> None:
+        self.at.setdefault(tag, []).append(len(self.open))
+        if tag in FENCES:
+            self.fences.append(len(self.open))
+        self.open.append((tag, out, region))
 
-    def _end(self, names: set[str]) -> None:
+    def _close(self, names: set[str], fenced: bool) -> None:
         """Close the nearest open element of ``names``, unless a fence is nearer."""
-        for k in range(len(self.open) - 1, -1, -1):
-            if self.open[k][0] in names:
-                del self.open[k:]
-                return
-            if self.open[k][0] in FENCES:
-                return
+        k = max((self.at[n][-1] for n in names if self.at.get(n)), default=-1)
+        if k < 0 or (fenced and self.fences and self.fences[-1] > k):
+            return
+        while len(self.open) > k:
+            name = self.open.pop()[0]
+            self.at[name].pop()
+            if name in FENCES:
+                self.fences.pop()
+
+    def _region(self, parent: int, tag: str, doubted: bool) -> int:
+        self.parent.append(parent)
+        self.bodies.append(self.bodies[parent] or (tag in BODIES and not doubted))
+        self.doubted.append(doubted)
+        return len(self.parent) - 1
 
     def handle_starttag(self, tag: str, attrs: list) -> None:
-        out = bool(self.open) and self.open[-1][1]
-        if not out:
+        if not (self.open and self.open[-1][1]):
             self.tags += 1
         if tag in BLOCKS:
             self.flush()
-            self._end({"p"})
+            self._close({"p"}, True)
             if tag in ENDS:
-                self._end(ENDS[tag])
-            out = bool(self.open) and self.open[-1][1]
+                self._close(ENDS[tag], True)
+        _, out, region = self.open[-1] if self.open else ("", False, 0)
         if tag in VOID:
             if tag == "br":
                 self.text.append(" " if not out else "")
             return
-        region = self.open[-1][2] if self.open else 0
-        inside = region in self.bodies
-        out = out or _marked(tag, attrs, inside)
-        if tag in BODIES and not inside and not out:
-            self.regions += 1
-            region = self.regions
-            self.bodies.add(region)
-            self.flow = 0
-        elif tag in BLOCKS and not out and not region and tag not in ("html", "body"):
-            if tag in FLOW:
-                region = self._flowing()
-            else:
-                self.regions += 1
-                region = self.regions
-                self.flow = 0
-        self.open.append((tag, out, region))
+        out = out or tag in SILENT
+        if not out and not self.doubted[region]:
+            doubted = _doubted(tag, attrs, self.bodies[region])
+            if doubted and tag not in BLOCKS:
+                out = True
+            elif doubted or tag in REGIONS:
+                region = self._region(region, tag, doubted)
+        self._push(tag, out, region)
 
     def handle_startendtag(self, tag: str, attrs: list) -> None:
         self.handle_starttag(tag, attrs)
@@ -128,16 +146,13 @@ class _Lines(HTMLParser):
             self.flush()
         if not (self.open and self.open[-1][1]):
             self.tags += 1
-        for k in range(len(self.open) - 1, -1, -1):
-            if self.open[k][0] == tag:
-                del self.open[k:]
-                return
-            if self.open[k][0] in FENCES and tag not in FENCES:
-                return
+        self._close({tag}, tag not in FENCES)
 
     def handle_data(self, data: str) -> None:
         if not (self.open and self.open[-1][1]):
             self.text.append(data)
+            if self.at.get("a"):
+                self.linked += len("".join(data.split()))
 
 
 def smoothed(ratios: list[float], sigma: float = SIGMA) -> list[float]:
@@ -171,50 +186,133 @@ def threshold(values: list[float]) -> float:
     return cut
 
 
-def upper(scores: dict[int, float]) -> set[int]:
+def upper(scores: dict[int, float], apart: float = APART) -> set[int]:
     """The keys of the upper cluster; all when the clusters are not clearly apart."""
     cut = threshold(list(scores.values()))
     over = [v for v in scores.values() if v >= cut]
     under = [v for v in scores.values() if v < cut]
-    if not over or not under or sum(over) / len(over) - sum(under) / len(under) < math.log(APART):
+    if not over or not under or sum(over) / len(over) - sum(under) / len(under) < math.log(apart):
         return set(scores)
     return {r for r, v in scores.items() if v >= cut}
 
 
-def main_text(html: str | None) -> str:
-    """The article of a page as blocks joined by an empty line.
+def densities(lines: list[tuple[str, float, int, int]]) -> list[float]:
+    """Each line's ratio of text outside links to tags, smoothed over the page.
 
-    Text-to-tag ratios are smoothed over the lines of each region, so that no
-    neighbour lends a region its density; a region's score is the mean ratio
-    over its text times the root of its length, and ``article`` and ``main`` add
-    weight to it. The logarithms of the scores are parted into two clusters, and
-    the regions of the upper one give all their lines, so short paragraphs of an
-    article stay. Where the clusters are not clearly apart, nothing is dropped.
+    A neighbour's density counts for a line only as far as its text is no link.
     """
-    if not html:
-        return ""
+    values = smoothed([len(t) * (1 - linked) / max(1, tags) for t, linked, tags, _ in lines])
+    return [v * (1 - linked) for v, (_, linked, _, _) in zip(values, lines, strict=True)]
+
+
+class _Choice:
+    """The regions of one page, measured, and the choice among them."""
+
+    def __init__(self, page: _Lines) -> None:
+        self.page = page
+        n = len(page.parent)
+        self.chars = [0] * n  # of a region and all below it that isn't doubted
+        self.dense = [0.0] * n
+        self.body = [0] * n  # characters in an article or main
+        self.below: list[list[int]] = [[] for _ in range(n)]
+        self.own = [(0, 0.0)] * n  # characters and density of the lines right in a region
+        self.dropped = 0  # regions that clusters left out
+        for (text, _, _, r), value in zip(page.lines, densities(page.lines), strict=True):
+            chars, dense = self.own[r]
+            self.own[r] = (chars + len(text), dense + len(text) * value)
+        for r in range(n - 1, -1, -1):
+            chars, dense = self.own[r]
+            self.chars[r] += chars
+            self.dense[r] += dense
+            self.body[r] += chars if page.bodies[r] else 0
+            if r and self.chars[r]:
+                up = page.parent[r]
+                self.below[up].append(r)
+                if not page.doubted[r]:
+                    self.chars[up] += self.chars[r]
+                    self.dense[up] += self.dense[r]
+                    self.body[up] += self.body[r]
+
+    def score(self, chars: int, dense: float, weight: float, apart: float) -> float:
+        """Logarithm of the weighted mean ratio over the text; times the root of its
+        length, except inside a chosen region, where short parts belong to long ones."""
+        size = math.sqrt(chars) if apart == APART else 1
+        return math.log(weight * size * max(dense / chars, 0.01))
+
+    def regions(self) -> set[int]:
+        """The regions whose own lines are the article."""
+        page, kept = self.page, set()
+        todo = [(0, APART)]
+        while todo:
+            r, apart = todo.pop()
+            sure = [c for c in self.below[r] if not page.doubted[c]]
+            if page.bodies[r]:
+                kept.add(r)
+                todo += [(c, apart) for c in sure]
+                continue
+            scores = {}
+            own, dense = self.own[r]
+            if own and 2 * own >= self.chars[r]:
+                apart = APART_INSIDE
+            if own:
+                scores[r] = self.score(own, dense, 1, apart)
+            for c in self.below[r]:
+                weight = DOUBT_WEIGHT if page.doubted[c] else BODY_WEIGHT if 2 * self.body[c] >= self.chars[c] else 1
+                scores[c] = self.score(self.chars[c], self.dense[c], weight, apart)
+            some = [c for c in scores if not page.doubted[c]]
+            if not some:
+                continue
+            chosen = upper(scores, apart)
+            self.dropped += len(scores) - len(chosen)
+            if chosen.isdisjoint(some):  # doubted regions alone: the others decide among themselves
+                chosen = upper({c: scores[c] for c in some}, apart)
+            chosen &= set(some)
+            kept |= chosen & {r}
+            todo += [(c, APART_INSIDE if len(some) > 1 else apart) for c in chosen if c != r]
+        return kept
+
+
+def _parsed(html: str) -> _Lines:
     if "<![" in html:  # the parser raises on unknown sections; in HTML they are comments
         html = re.sub(r"<!\[[^>]*>?", "", html)
     last = html.rfind("<")
     if last > html.rfind(">") and re.match("[A-Za-z/!?]", html[last + 1 :]):
         html = html[:last]  # a page cut inside a tag
-    parser = _Lines()
-    parser.feed(html)
-    parser.close()
-    parser.flush()
-    lines = parser.lines
-    if not lines:
+    page = _Lines()
+    page.feed(html)
+    page.close()
+    page.flush()
+    return page
+
+
+def main_text(html: str | None) -> str:
+    """The article of a page as blocks joined by an empty line.
+
+    Every line that can be seen, those of menus and footers too, has its ratio of
+    text to tags, smoothed over the page. From the page downwards, the regions
+    inside a region are scored: the mean ratio over their text times the root of
+    its length (inside a chosen region the ratio alone), more for ``article`` and
+    ``main``, less for regions that their name or marks put in doubt. The logarithms of the scores are parted into two
+    clusters, and those of the upper one go on, so a wrapper around the whole page
+    is looked into. An ``article`` or ``main`` is kept with all its lines, and short
+    paragraphs stay with the lines beside them. Where the clusters are not clearly
+    apart, only the doubted regions are left out. A page of doubted regions alone
+    has no text.
+    """
+    if not html:
+        return ""
+    page = _parsed(html)
+    if not page.lines:
         return ""
-    regions: dict[int, list[tuple[int, float]]] = {}
-    for text, tags, r in lines:
-        regions.setdefault(r, []).append((len(text), len(text) / max(1, tags)))
-    scores = {}
-    for r, own in regions.items():
-        dense = sum(n * v for (n, _), v in zip(own, smoothed([x for _, x in own]), strict=True))
-        weight = BODY_WEIGHT if r in parser.bodies else 1
-        scores[r] = math.log(weight * dense / math.sqrt(sum(n for n, _ in own)))
-    chosen = upper(scores)
-    return "\n\n".join(text for text, _, r in lines if r in chosen)
+    kept = _Choice(page).regions()
+    return "\n\n".join(text for text, _, _, r in page.lines if r in kept)
+
+
+def cluster_drops(html: str | None) -> int:
+    """How many regions of a page the clusters left out."""
+    choice = _Choice(_parsed(html or ""))
+    choice.regions()
+    return choice.dropped
 
 
 def extracted(pages: DataFrame, carry: list[str]) -> DataFrame:
