@@ -88,10 +88,12 @@ def fit(labels: np.ndarray, keys: list, counts: list, share: float, seed: int =
     """
     size, n = 1 << BUCKET_BITS, len(labels)
     rng = np.random.default_rng(seed)
-    texts = np.bincount(np.concatenate(keys), minlength=size) if n else np.zeros(size, dtype=np.int64)
+    texts = np.zeros(size, dtype=np.int64)
+    for k in keys:  # distinct in each text
+        texts[k] += 1
     kept = np.flatnonzero(texts >= min(MIN_TEXTS, max(1, n // 20)))
-    place = np.full(size, -1)
-    place[kept] = np.arange(len(kept))
+    place = np.full(size, -1, dtype=np.int32)
+    place[kept] = np.arange(len(kept), dtype=np.int32)
     bags = []
     for k, c in zip(keys, counts, strict=True):
         here = place[k] >= 0
