@@ -32,6 +32,10 @@ def _limit(limits: Mapping, endpoint: Column, part: int) -> Column:
     return value
 
 
+def _with_limit(answers: DataFrame, limits: Mapping) -> DataFrame:
+    return answers.withColumn("limit", _limit(limits, F.col("endpoint"), 0).cast("int"))
+
+
 def consume(tokens: float, elapsed: float, capacity: float, rate: float) -> tuple:
     """One request: (tokens left, allowed, remaining, retry_after)."""
     tokens = min(capacity, tokens + elapsed * rate)
@@ -87,8 +91,8 @@ def _sessions(requests: DataFrame, limits: Mapping) -> DataFrame:
 
 
 def rate_limit_batch(requests: DataFrame, limits: Mapping = LIMITS) -> DataFrame:
-    """Requests (request_id, user_id, endpoint, ts) with allowed, remaining and
-    retry_after (seconds).
+    """Requests (request_id, user_id, endpoint, ts) with allowed, remaining,
+    retry_after (seconds) and limit (the endpoint's capacity).
 
     Rows are shuffled by independent session, sorted on disk and streamed
     through one bucket at a time: memory does not grow with a user's traffic.
@@ -127,7 +131,7 @@ def rate_limit_batch(requests: DataFrame, limits: Mapping = LIMITS) -> DataFrame
                 names=[*keep, "allowed", "remaining", "retry_after"],
             )
 
-    return ordered.mapInArrow(run, schema)
+    return _with_limit(ordered.mapInArrow(run, schema), limits)
 
 
 def rate_limit_stream(
@@ -172,10 +176,11 @@ def rate_limit_stream(
     kinds = {f.name: f.dataType.simpleString() for f in requests.schema.fields}
     schema = ", ".join(f"{n} {kinds[n]}" for n in ("request_id", "user_id", "endpoint", "ts"))
     timed = requests if lateness is None else requests.withWatermark("ts", lateness)
-    return timed.groupBy("user_id", "endpoint").applyInPandasWithState(
+    answers = timed.groupBy("user_id", "endpoint").applyInPandasWithState(
         update,
         f"{schema}, {_OUT}",
         "tokens double, last double",
         "append",
         "NoTimeout" if lateness is None else "EventTimeTimeout",
     )
+    return _with_limit(answers, limits)

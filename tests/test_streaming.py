@@ -32,6 +32,7 @@ def test_bucket_refills_after_six_seconds(spark):
     got = {r.request_id: r for r in rate_limit.rate_limit_batch(spark.createDataFrame(rows, SCHEMA)).collect()}
     assert [got[k].allowed for k in range(12)] == [True] * 10 + [False, True]
     assert got[0].remaining == 9 and got[10].retry_after == 6
+    assert {r.limit for r in got.values()} == {10}
 
 
 def test_batch_against_plain_loop(spark):
@@ -104,6 +105,7 @@ def test_rate_limit_order_over_arrow_batches(spark):
         out = work_path(spark, "answers")
         liveness.write_batches(stream, out, work_path(spark, "cp")).awaitTermination()
         got = {r.request_id: (r.allowed, r.remaining, r.retry_after) for r in spark.read.parquet(out).collect()}
+        assert {r.limit for r in spark.read.parquet(out).collect()} == {60}
     finally:
         spark.conf.set(key, before)
     assert got == expected(rows, rate_limit.LIMITS)
