@@ -55,9 +55,10 @@ def incremental_ingest(
     policy: str = "crawl",
     source_type: str = "crawl",
     trigger: dict | None = None,
+    bare_references: bool = True,
 ) -> StreamingQuery:
     """Parse a stream of pages into the article log at ``path``."""
-    parsed = normalize_articles(parse_pages(pages), project, source_type)
+    parsed = normalize_articles(parse_pages(pages, bare_references), project, source_type)
     return (
         parsed.writeStream.foreachBatch(
             lambda df, batch_id: append_batch(df, batch_id, path, policy)
