@@ -186,3 +186,32 @@ def test_numbers(spark):
     for status, error, want in ((503, None, "transient"), (404, None, "permanent"), (0, "ECONNRESET", "transient")):
         got = one(spark, scoring.http_failure_class(F.lit(status), F.lit(error).cast("string")))
         assert got == want
+
+
+@pytest.mark.parametrize("name", ["best_sentence", "best_phrase"])
+def test_sentences_are_scored_once(spark, name):
+    """Neither the join's condition nor a filter scores them too."""
+    import __spark_entry__ as entry
+
+    plan = entry.queries()[name](spark, entry.SAMPLE_DIR)._jdf.queryExecution().optimizedPlan()
+    assert plan.toString().count("array_max(transform(array(filter(split(") <= 1
+    assert "Join Inner, ((array_max" not in plan.toString()
+
+
+def test_title_is_split_once(spark):
+    df = spark.createDataFrame([("a b. c d", "c - site")], "body string, title string")
+    best = tx.best_sentence(
+        tx.scored_sentences(F.col("body")), tx.distinctive_words(tx.display_title(F.col("title")))
+    )
+    plan = df.select(best.alias("x"))._jdf.queryExecution().optimizedPlan().toString()
+    # Bound outside the sentences: the title comes before what reads the body.
+    assert plan.index("title#") < plan.index("body#")
+    assert df.select(best["sentence"]).first()[0] == "c d"
+
+
+def test_distinctive_words_drop_every_other_character(spark):
+    text = "Über-Maß x1 İy\x0bz　K9 中文w\U0001f600v ÿ\u0085u _ ﻿the÷k"
+    df = spark.createDataFrame([(text,)], "t string")
+    assert df.select(tx.distinctive_words(F.col("t"))).first()[0] == [
+        "berma", "x1", "iy", "z", "k9", "wv", "u", "thek"
+    ]
