@@ -215,3 +215,21 @@ def test_distinctive_words_drop_every_other_character(spark):
     assert df.select(tx.distinctive_words(F.col("t"))).first()[0] == [
         "berma", "x1", "iy", "z", "k9", "wv", "u", "thek"
     ]
+
+
+def test_anchor_is_computed_once(spark):
+    """The filter on the anchor is no part of a join's condition."""
+    from linkloom.operators import semantic
+
+    similar = spark.createDataFrame(
+        [("p", "1", "2", 0.9, 1)],
+        "project_id string, source_id string, target_id string, similarity double, rank int",
+    )
+    articles = spark.createDataFrame(
+        [("p", "1", "https://a.b/1", "x", "Red apples fall."), ("p", "2", "https://a.b/2", "Red apples", "y")],
+        "project_id string, article_id string, url string, title string, body string",
+    ).withColumn("existing_links", F.array().cast("array<struct<href:string,anchor_text:string>>"))
+    found = semantic.semantic_targets(similar, articles, articles, similar.limit(0))
+    plan = found._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("array_max(") == 2  # one anchor: its sentence and its phrase
+    assert found.first().anchor_text == "Red apples fall"
