@@ -1,9 +1,11 @@
 """Every registered query against its SQL on the smallest driver tables."""
 
+import duckdb
 import pytest
 from oracle import compare, connect
 
 import __spark_entry__ as entry
+from linkloom.session import work_path
 
 QUERIES, SQL = entry.queries(), entry.oracle_sql()
 # Only rows to show where no SQL can be given; some have none at this size.
@@ -30,3 +32,16 @@ def test_query(spark, con, data_dir, name):
     if problem == "no rows" and name in MAY_BE_EMPTY:
         return
     assert problem is None, problem
+
+
+def test_pages_stored_twice_under_one_url(spark):
+    """Alike pages of one URL are one article and still two rows, each with its own status."""
+    folder = work_path(spark, "twice")
+    page = "<title>A title</title><article>Some text</article>"
+    rows = [(k, f"https://e.example.com/en/{u}", page + f"<!-- {k} -->") for k, u in ((1, 1), (2, 1), (6, 2), (22, 1))]
+    pages = spark.createDataFrame(rows, "page_id long, url string, html string")
+    pages.coalesce(1).write.parquet(f"{folder}/pages.parquet")
+    con = duckdb.connect()
+    con.execute(f"CREATE VIEW pages AS SELECT * FROM read_parquet('{folder}/pages.parquet/*.parquet')")
+    for name in ("ingest", "incremental_ingest"):
+        assert compare(spark, con, folder, name, QUERIES[name], SQL[name]) is None
