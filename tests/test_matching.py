@@ -270,3 +270,16 @@ def test_fuzzy_compares_few_windows():
     for t, p, at, dice in got:
         assert (at, dice) == pytest.approx(best_window(texts[t], p, 0.8))
     assert work[1] * 50 < work[0]
+
+
+def test_links_are_normalised_once(spark):
+    """Neither the generator's filter nor the join's normalises all links again."""
+    rows = [("p", "1", "https://e.com/en/a", [("b", "x"), (None, "x")]), ("p", "2", "https://e.com/en/b", None), ("p", "3", None, [("", "x")])]
+    stored = spark.createDataFrame(rows, f"project_id string, article_id string, url string, existing_links {LINKS}")
+    pairs = stored.alias("s").join(stored.alias("t"), F.expr("s.article_id <> t.article_id")).select(
+        "s.project_id", F.col("s.article_id").alias("source_id"), F.col("t.article_id").alias("target_id")
+    )
+    left = matching.already_linked(pairs, stored)
+    plan = left._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("concat(null, ") == 2  # links and targets, once each
+    assert ("1", "2") not in {(r.source_id, r.target_id) for r in left.collect()} and left.count() == 5

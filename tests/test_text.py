@@ -233,3 +233,14 @@ def test_anchor_is_computed_once(spark):
     plan = found._jdf.queryExecution().optimizedPlan().toString()
     assert plan.count("array_max(") == 2  # one anchor: its sentence and its phrase
     assert found.first().anchor_text == "Red apples fall"
+
+
+def test_plain_links_as_step_by_step(spark):
+    """Links of plain segments take a short way to the same key."""
+    bases = ("https://E.com/en/a/b", "https://e.com", "http://e.com:80/x/../y/z", "ftp://e.com/a", "https://e.com//a/b")
+    links = ("../c/3/?r=o#x", "../../x", "../x", "..", "x//", "/en/x/", "/", "", "?a", "x#?y", "x/../y", ".x", "a.b/c", "a:b", "x y")
+    rows = spark.createDataFrame([(b, h) for b in bases for h in links], "base string, href string")
+    base = urls.base_parts(F.col("base"))
+    long_way = base.withField("plain", F.lit(False))
+    keys = rows.select(urls.link_key(F.col("href"), base).alias("a"), urls.link_key(F.col("href"), long_way).alias("b"))
+    assert rows.filter(base["plain"]).count() and keys.filter(~F.col("a").eqNullSafe(F.col("b"))).isEmpty()
