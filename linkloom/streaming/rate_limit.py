@@ -19,6 +19,7 @@ LIMITS = {
     "default": (60.0, 1.0),
 }
 IDLE_MS = 10 * 60 * 1000
+STATE_GROUPS = 1024
 # ----------------------------------------------------------------------------
 
 _OUT = "allowed boolean, remaining int, retry_after int"
@@ -135,11 +136,18 @@ def rate_limit_batch(requests: DataFrame, limits: Mapping = LIMITS) -> DataFrame
 
 
 def rate_limit_stream(
-    requests: DataFrame, limits: Mapping = LIMITS, lateness: str | None = None
+    requests: DataFrame,
+    limits: Mapping = LIMITS,
+    lateness: str | None = None,
+    groups: int = STATE_GROUPS,
 ) -> DataFrame:
-    """The same over a stream: one bucket per (user, endpoint) as keyed state.
+    """The same over a stream, with the buckets as keyed state.
 
-    All requests of a key in one micro-batch are taken in time order (the
+    A state holds the buckets of the keys (user, endpoint) of one of ``groups`` hash
+    groups, so Python is called once a group, not once a key. More groups rewrite less
+    state for a small micro-batch; the number is fixed for a checkpoint.
+
+    All requests of a group in one micro-batch are taken in time order (the
     source's rate limits bound that list); one that is late for an earlier
     micro-batch finds the clock where it is. Every request is answered, and
     buckets stay. With ``lateness`` (a watermark delay) idle buckets leave the
@@ -150,37 +158,65 @@ def rate_limit_stream(
     table = {k: (float(v[0]), float(v[1])) for k, v in limits.items()}
     idle = {k: max(IDLE_MS, int(1000 * c / r)) for k, (c, r) in table.items()}
 
+    def due(key, last):
+        return int(last / 1000) + idle.get(key[1], idle["default"])
+
     def update(key, frames, state):
-        capacity, rate = table.get(key[1], table["default"])
-        if state.hasTimedOut:
-            state.remove()
-            return
-        tokens, last = state.get if state.exists else (capacity, None)
-        # A key's rows come in several Arrow batches; order holds over all of them.
-        frame = pd.concat([f[["request_id", "user_id", "endpoint", "ts"]] for f in frames])
-        frame = frame.sort_values(["ts", "request_id"], kind="stable").reset_index(drop=True)
-        out = []
-        # Microseconds: exact in the state's doubles, as their differences are.
-        for us in frame["ts"].astype("datetime64[us]").astype(np.int64).astype(float):
-            elapsed = 0.0 if last is None else max(us - last, 0.0) / 1e6
-            tokens, ok, left, wait = consume(tokens, elapsed, capacity, rate)
-            last = us if last is None else max(last, us)
-            out.append((ok, left, wait))
-        frame[["allowed", "remaining", "retry_after"]] = pd.DataFrame(out)
-        yield frame
-        state.update((tokens, last))
+        buckets, asked = {}, set()
+        if state.exists:
+            users, endpoints, tokens, last = state.get
+            buckets = dict(zip(zip(users, endpoints), zip(tokens, last)))
+        if not state.hasTimedOut:
+            # A group's rows come in several Arrow batches; order holds over all of them.
+            frame = pd.concat([f[["request_id", "user_id", "endpoint", "ts"]] for f in frames])
+            frame = frame.sort_values(["ts", "request_id"], kind="stable").reset_index(drop=True)
+            # Microseconds: exact in the state's doubles, as their differences are.
+            clock = frame["ts"].astype("datetime64[us]").astype(np.int64).astype(float)
+            out = []
+            for user, endpoint, us in zip(frame["user_id"], frame["endpoint"], clock):
+                bucket = (user, endpoint)
+                capacity, rate = table.get(endpoint, table["default"])
+                tokens, last = buckets.get(bucket, (capacity, us))
+                tokens, ok, left, wait = consume(
+                    tokens, max(us - last, 0.0) / 1e6, capacity, rate
+                )
+                buckets[bucket] = (tokens, max(last, us))
+                asked.add(bucket)
+                out.append((ok, left, wait))
+            frame[["allowed", "remaining", "retry_after"]] = pd.DataFrame(out)
+            yield frame
         if lateness is not None:
-            due = int(last / 1000) + idle.get(key[1], idle["default"])
-            state.setTimeoutTimestamp(max(due, state.getCurrentWatermarkMs() + 1))
+            now = state.getCurrentWatermarkMs()
+            buckets = {k: v for k, v in buckets.items() if k in asked or due(k, v[1]) >= now}
+            if not buckets:
+                if state.exists:
+                    state.remove()
+                return
+        users, endpoints = zip(*buckets)
+        tokens, last = zip(*buckets.values())
+        state.update((list(users), list(endpoints), list(tokens), list(last)))
+        if lateness is not None:
+            first = min(due(k, v[1]) for k, v in buckets.items())
+            state.setTimeoutTimestamp(max(first, now + 1))
 
     kinds = {f.name: f.dataType.simpleString() for f in requests.schema.fields}
-    schema = ", ".join(f"{n} {kinds[n]}" for n in ("request_id", "user_id", "endpoint", "ts"))
+    names = ("request_id", "user_id", "endpoint", "ts")
     timed = requests if lateness is None else requests.withWatermark("ts", lateness)
-    answers = timed.groupBy("user_id", "endpoint").applyInPandasWithState(
+    # Users as text: a column of numbers with a null would be read as doubles.
+    keyed = timed.select(
+        "request_id",
+        F.col("user_id").cast("string").alias("user_id"),
+        "endpoint",
+        "ts",
+        F.pmod(F.xxhash64("user_id", "endpoint"), F.lit(groups)).alias("_group"),
+    )
+    schema = ", ".join(f"{n} {'string' if n == 'user_id' else kinds[n]}" for n in names)
+    answers = keyed.groupBy("_group").applyInPandasWithState(
         update,
         f"{schema}, {_OUT}",
-        "tokens double, last double",
+        "users array<string>, endpoints array<string>, tokens array<double>, last array<double>",
         "append",
         "NoTimeout" if lateness is None else "EventTimeTimeout",
     )
-    return _with_limit(answers, limits)
+    typed = answers.withColumn("user_id", F.col("user_id").cast(kinds["user_id"]))
+    return _with_limit(typed, limits)

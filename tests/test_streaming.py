@@ -124,3 +124,25 @@ def test_late_rows_are_answered_and_counted(spark):
     answers = {r.request_id: r.allowed for r in spark.read.parquet(out).collect()}
     assert answers == {1: True, 2: True, 3: True}
     assert max(r.used for r in spark.read.parquet(counted).collect()) == 3
+
+
+def _append(spark, folder, rows, schema):
+    spark.createDataFrame(rows, schema).coalesce(1).write.mode("append").parquet(folder)
+
+
+def test_many_keys_share_few_states(spark):
+    """Python is called once a group of keys; buckets go on in the next micro-batch."""
+    rng, limits = random.Random(3), {"default": (2.0, 1 / 900)}
+    rows = [(k, f"u{k % 1500}", "x", at(k // 1500 * rng.choice([1, 700]) + k)) for k in range(4500)]
+    for lateness in (None, "1 hour"):
+        folder, out, checkpoint = (work_path(spark, n) for n in ("many", "many-out", "many-cp"))
+        for part in (rows[:2500], rows[2500:]):
+            _append(spark, folder, part, SCHEMA)
+            stream = spark.readStream.schema(SCHEMA).parquet(folder)
+            answers = rate_limit.rate_limit_stream(stream, limits, lateness)
+            query = liveness.write_batches(answers, out, checkpoint)
+            query.awaitTermination()
+            states = [p["stateOperators"][0]["numRowsTotal"] for p in query.recentProgress if p["stateOperators"]]
+            assert max(states) <= 1024  # not one for each of the 1,500 users
+        got = {r.request_id: (r.allowed, r.remaining, r.retry_after) for r in spark.read.parquet(out).collect()}
+        assert got == expected(rows, limits)
