@@ -11,45 +11,64 @@ from linkloom.operators import ledger
 
 # --- fixed values -----------------------------------------------------------
 SILENCE_MS = 10 * 60 * 1000
+STATE_GROUPS = 1024
 # ----------------------------------------------------------------------------
 
 
-def liveness_stream(heartbeats: DataFrame, lateness: str = "10 minutes") -> DataFrame:
+def liveness_stream(
+    heartbeats: DataFrame, lateness: str = "10 minutes", groups: int = STATE_GROUPS
+) -> DataFrame:
     """Runs (run_id, ts) silent for ten minutes of event time: run_id,
     last_seen, status ``timed_out``. A later heartbeat starts a new watch.
 
     Silence is known only once the watermark has passed it: heartbeats more than
-    ``lateness`` behind the newest one don't count.
+    ``lateness`` behind the newest one don't count. A state holds the runs of one of
+    ``groups`` hash groups, so Python is called once a group; the number is fixed
+    for a checkpoint.
     """
     kind = heartbeats.schema["run_id"].dataType.simpleString()
 
     def watch(key, frames, state):
-        if state.hasTimedOut:
-            (last,) = state.get
-            state.remove()
+        seen = dict(zip(*state.get)) if state.exists else {}
+        beating = set()
+        if not state.hasTimedOut:
+            for frame in frames:
+                newest = frame.groupby("run_id", dropna=False)["ts"].max()
+                at = newest.astype("datetime64[ns]").astype("int64") // 1_000_000
+                for run, last in zip(newest.index, at.tolist()):
+                    run = None if pd.isna(run) else run
+                    seen[run] = max(seen.get(run, 0), last)
+                    beating.add(run)
+        now = state.getCurrentWatermarkMs()
+        silent = [r for r, last in seen.items() if r not in beating and last + SILENCE_MS < now]
+        if silent:
             yield pd.DataFrame(
-                {"run_id": [key[0]], "last_seen_ms": [last], "status": ["timed_out"]}
+                {
+                    "run_id": silent,
+                    "last_seen_ms": [seen.pop(r) for r in silent],
+                    "status": "timed_out",
+                }
             )
-            return
-        last = state.get[0] if state.exists else 0
-        for frame in frames:
-            newest = frame["ts"].max()
-            last = max(last, newest.value // 1_000_000)
-        state.update((last,))
-        state.setTimeoutTimestamp(max(last + SILENCE_MS, state.getCurrentWatermarkMs() + 1))
+        if seen:
+            state.update((list(seen), list(seen.values())))
+            state.setTimeoutTimestamp(max(min(seen.values()) + SILENCE_MS, now + 1))
+        elif state.exists:
+            state.remove()
 
-    return (
-        heartbeats.select("run_id", "ts")
-        .withWatermark("ts", lateness)
-        .groupBy("run_id")
-        .applyInPandasWithState(
-            watch,
-            f"run_id {kind}, last_seen_ms bigint, status string",
-            "last bigint",
-            "append",
-            "EventTimeTimeout",
-        )
+    # Runs as text: a column of numbers with a null would be read as doubles.
+    timed = heartbeats.select(
+        F.col("run_id").cast("string").alias("run_id"),
+        "ts",
+        F.pmod(F.xxhash64("run_id"), F.lit(groups)).alias("_group"),
+    ).withWatermark("ts", lateness)
+    found = timed.groupBy("_group").applyInPandasWithState(
+        watch,
+        "run_id string, last_seen_ms bigint, status string",
+        "runs array<string>, last array<bigint>",
+        "append",
+        "EventTimeTimeout",
     )
+    return found.withColumn("run_id", F.col("run_id").cast(kind))
 
 
 def quota_stream(runs: DataFrame, lateness: str | None = None) -> DataFrame:

@@ -146,3 +146,14 @@ def test_many_keys_share_few_states(spark):
             assert max(states) <= 1024  # not one for each of the 1,500 users
         got = {r.request_id: (r.allowed, r.remaining, r.retry_after) for r in spark.read.parquet(out).collect()}
         assert got == expected(rows, limits)
+
+
+def test_runs_of_one_state_are_watched_apart(spark):
+    folder, out, checkpoint = (work_path(spark, n) for n in ("runs", "runs-out", "runs-cp"))
+    schema = "run_id long, ts timestamp"
+    for part in ([(1, at(0)), (2, at(5)), (3, at(4000))], [(1, at(4100)), (4, at(9000))], [(4, at(9001))]):
+        _append(spark, folder, part, schema)
+        beats = spark.readStream.schema(schema).parquet(folder)
+        liveness.write_batches(liveness.liveness_stream(beats, groups=1), out, checkpoint).awaitTermination()
+    seen = sorted((r.run_id, r.last_seen_ms - int(T0.replace(tzinfo=dt.timezone.utc).timestamp()) * 1000) for r in spark.read.parquet(out).collect())
+    assert seen == [(1, 0), (1, 4_100_000), (2, 5_000), (3, 4_000_000)]
