@@ -1,8 +1,8 @@
 """SentencePiece encoding and decoding over a relational lattice.
 
 Texts are cut where no piece can reach across, so equal units are encoded once.
-For each unit all substrings of bounded length are joined to the piece table,
-the joined edges are grouped by unit, and a fold over the edges keeps the best
+For each unit all substrings of bounded length are joined to the piece table. A
+fold over the joined edges, by their end and for many units at once, keeps the best
 path to each position (Viterbi). Scores add up as in a unigram model.
 """
 
@@ -10,8 +10,10 @@ from __future__ import annotations
 
 import hashlib
 import re
+import zlib
 from collections import Counter
 from dataclasses import dataclass
+from itertools import repeat
 
 import numpy as np
 import pyarrow as pa
@@ -19,8 +21,7 @@ import zstandard
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from linkloom.functions.let import let
-from linkloom.llm.base import by_batch, register, small_batches, table
+from linkloom.llm.base import by_batch, register, table
 
 SPACE = "▁"
 #: Units: spaces with what follows them, or runs of line feeds.
@@ -32,14 +33,16 @@ MAX_PIECES = 1_000_000
 HEAD_UNITS, HEAD_TEXTS = 300_000, 20_000
 HEAD_CHARS = 40
 HEAD_PARTS = 48
-#: Characters of one block, for which a dictionary of the other units is gathered, and
-#: texts whose other units one task of the lattice should get.
-BLOCK_CHARS, LATTICE_TEXTS = 8_000_000, 1_000
+#: Characters of one block, for which a dictionary of the other units is gathered.
+BLOCK_CHARS = 8_000_000
+#: Each block asks each part of the lattice in one row: parts for a block, at most so
+#: many in all, unless each has more than so many blocks' share.
+BLOCK_PARTS, MOST_PARTS, PART_BLOCKS = 3, 500, 20
+#: Edges that are folded at once, and limits of the Arrow batches that bring them.
+EDGES, EDGE_ROWS, EDGE_BYTES = 500_000, 20_000, "1m"
 #: Longer units are cut where no piece reaches across.
 CUT_CHARS = 512
 CHUNK = 256
-#: Longest unit for the short form of the fold.
-SHORT = 48
 
 
 @dataclass(frozen=True)
@@ -103,126 +106,123 @@ def piece_table(spark: SparkSession, vocabulary: Vocabulary) -> DataFrame:
     return spark.createDataFrame(list(vocabulary.pieces), "piece string, score double, id int")
 
 
+def edge_batches(spark: SparkSession) -> None:
+    """Arrow batches bounded by bytes, so that edges come many at a time and texts few."""
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(EDGE_ROWS))
+    spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", EDGE_BYTES)
+
+
 def edges_of(units: DataFrame, vocabulary: Vocabulary) -> DataFrame:
-    """``units`` (``unit`` and others) with ``edge`` (to, from, id, score), one row for
-    each substring that is a piece and for each single character that is none.
+    """Edges ``from``, ``to``, ``id`` of the lattice of each ``unit`` (not empty): a row for
+    each substring that is a piece and for each single character that is none (there
+    -1 - code point).
 
-    A long unit is first cut into overlapping chunks, so that taking substrings
-    costs the same in any place.
+    A unit's rows follow each other. Its first character's row, the first of them, has
+    the unit and its other columns; the rest have nulls there. A long unit is first cut
+    into overlapping chunks, so that taking substrings costs the same in any place.
     """
     longest = vocabulary.longest
-    pieces = F.broadcast(piece_table(units.sparkSession, vocabulary))
-    others = [c for c in units.columns if c != "unit"]
-    chunks = units.select("unit", *others, F.explode(F.sequence(F.lit(0), F.length("unit") - 1, F.lit(CHUNK))).alias("base")).withColumn(
+    pieces = F.broadcast(piece_table(units.sparkSession, vocabulary).select("piece", "id"))
+    kept = units.columns
+    chunks = units.select(*kept, F.explode(F.sequence(F.lit(0), F.length("unit") - 1, F.lit(CHUNK))).alias("base")).withColumn(
         "chunk", F.substring("unit", F.col("base") + 1, F.lit(CHUNK + longest))
     )
-    starts = chunks.select("unit", *others, "base", "chunk", F.explode(F.sequence(F.lit(0), F.least(F.lit(CHUNK), F.length("chunk")) - 1)).alias("at"))
-    ends = starts.select("unit", *others, "base", "chunk", "at", F.explode(F.sequence(F.lit(1), F.least(F.lit(longest), F.length("chunk") - F.col("at")))).alias("n"))
-    spelt = ends.where(F.col("base") + F.col("at") < F.length("unit")).select(
-        "unit", *others, (F.col("base") + F.col("at")).alias("from"), "n", F.substring("chunk", F.col("at") + 1, F.col("n")).alias("piece")
-    )
+    starts = chunks.select(*kept, "base", "chunk", F.explode(F.sequence(F.lit(0), F.least(F.lit(CHUNK), F.length("chunk")) - 1)).alias("at"))
+    ends = starts.select(*kept, "base", "chunk", "at", F.explode(F.sequence(F.lit(1), F.least(F.lit(longest), F.length("chunk") - F.col("at")))).alias("n"))
+    spelt = ends.select(*kept, (F.col("base") + F.col("at")).alias("from"), "n", F.substring("chunk", F.col("at") + 1, F.col("n")).alias("piece"))
     joined = spelt.join(pieces, "piece", "left").where("id IS NOT NULL OR n = 1")
-    edge = F.struct(
-        (F.col("from") + F.col("n")).alias("to"),
-        F.col("from"),
-        F.coalesce("id", -1 - F.ascii("piece")).alias("id"),
-        F.coalesce("score", F.lit(vocabulary.unknown_score)).alias("score"),
+    first = (F.col("from") == 0) & (F.col("n") == 1)
+    return joined.select(
+        *[F.when(first, F.col(c)).alias(c) for c in kept], "from", (F.col("from") + F.col("n")).alias("to"), F.coalesce("id", -1 - F.ascii("piece")).alias("id")
     )
-    return joined.select("unit", *others, edge.alias("edge"))
-
-
-def _walk_back(steps: Column) -> Column:
-    """Ids of the path that ends with the last of ``steps`` (f: from, i: id)."""
-    start = F.struct(F.size(steps).alias("at"), F.array().cast("array<int>").alias("ids"))
-
-    def walked(a: Column, _: Column) -> Column:
-        step = F.element_at(steps, a["at"])
-        taken = F.struct(step["f"].alias("at"), F.concat(a["ids"], F.array(step["i"])).alias("ids"))
-        return F.when(a["at"] > 0, taken).otherwise(a)
 
-    return F.reverse(F.aggregate(steps, start, walked)["ids"])
 
+def _spans(begin: np.ndarray, n: np.ndarray) -> np.ndarray:
+    """Positions begin[k], ..., begin[k] + n[k] - 1, one k after the other."""
+    ends = np.cumsum(n, dtype=np.int64)
+    return np.arange(int(ends[-1]) if len(ends) else 0) + np.repeat(begin - (ends - n), n)
 
-def short_path(edges: Column) -> Column:
-    """:func:`best_path` with one array of kept edges: least work for a short unit."""
-    first = F.array(F.struct(F.lit(0.0).alias("s"), F.lit(0).alias("f"), F.lit(0).alias("i")))
 
-    def visit(a: Column, x: Column) -> Column:
-        score = F.get(a, x["from"])["s"] + x["score"]
-        kept = F.array(F.struct(score.alias("s"), x["from"].alias("f"), x["id"].alias("i")))
-        return (
-            F.when(F.size(a) == x["to"], F.concat(a, kept))
-            .when(score > F.get(a, x["to"])["s"], F.concat(F.slice(a, F.lit(1), x["to"]), kept))
-            .otherwise(a)
-        )
+def _best_paths(vocabulary: Vocabulary, scores: np.ndarray, edges: pa.Table) -> pa.Table:
+    """The units of ``edges`` with the ``ids`` of their best paths.
 
-    done = F.aggregate(F.array_sort(edges), first, visit)
-    return let(done, lambda a: _walk_back(F.slice(a, F.lit(2), F.size(a))))
-
-
-def best_path(edges: Column, longest: int) -> Column:
-    """Ids of the best path over all ``edges`` of a unit.
-
-    The first fold visits edges by their end. It holds the scores of the last
-    ``longest`` positions, the best edge so far to the present one, and the edge
-    kept for each earlier one (in parts, so that appending stays cheap). Of equal
-    paths the one with the earlier start of its last piece wins. The second fold
-    walks the kept edges back.
+    All units advance together: round ``t`` takes the edges that end at position ``t``.
+    Of equal paths the one with the earlier start of its last piece wins.
     """
-    step_type = "struct<f:int,i:int>"
-    empty = F.array().cast(f"array<{step_type}>")
-    state = F.struct(
-        F.array(F.lit(0.0)).alias("recent"),
-        empty.alias("part"),
-        F.array().cast(f"array<array<{step_type}>>").alias("parts"),
-        F.lit(1).alias("e"),
-        F.lit(None).cast("double").alias("s"),
-        F.struct(F.lit(0).alias("f"), F.lit(0).alias("i")).alias("step"),
-    )
-
-    def pushed(a: Column, end: Column) -> Column:
-        """The present position is done, ``end`` begins."""
-        full = F.size(a["part"]) >= CHUNK
-        part = F.concat(F.when(full, empty).otherwise(a["part"]), F.array(a["step"]))
-        return F.struct(
-            F.concat(F.slice(a["recent"], F.greatest(F.lit(1), F.size(a["recent"]) - (longest - 2)), F.lit(longest)), F.array(a["s"])).alias("recent"),
-            part.alias("part"),
-            F.when(full, F.concat(a["parts"], F.array(a["part"]))).otherwise(a["parts"]).alias("parts"),
-            end.alias("e"),
-            F.lit(None).cast("double").alias("s"),
-            a["step"].alias("step"),
-        )
-
-    def visit(a: Column, x: Column) -> Column:
-        def tried(b: Column) -> Column:
-            score = F.element_at(b["recent"], x["from"] - x["to"]) + x["score"]
-            return let(
-                score,
-                lambda s: F.when(
-                    b["s"].isNull() | (s > b["s"]),
-                    F.struct(
-                        b["recent"].alias("recent"), b["part"].alias("part"), b["parts"].alias("parts"), b["e"].alias("e"), s.alias("s"),
-                        F.struct(x["from"].alias("f"), x["id"].alias("i")).alias("step"),
-                    ),
-                ).otherwise(b),
-            )
-
-        return let(F.when(x["to"] > a["e"], pushed(a, x["to"])).otherwise(a), tried)
-
-    done = F.aggregate(F.array_sort(edges), state, visit)
-    return let(
-        done, lambda a: let(F.concat(F.flatten(a["parts"]), a["part"], F.array(a["step"])), _walk_back)
-    )
-
+    marked = edges.column("unit").is_valid().to_numpy()
+    marks, owner = np.flatnonzero(marked), np.cumsum(marked) - 1
+    start, to, ids = (edges.column(c).to_numpy().astype(np.int64) for c in ("from", "to", "id"))
+    length = np.maximum.reduceat(to, marks)
+    zero = np.cumsum(length + 1) - (length + 1)
+    nodes, wide = int(zero[-1] + length[-1] + 1), vocabulary.longest + 1
+    into = zero[owner] + to
+    order = np.argsort((to * nodes + into) * wide + (vocabulary.longest - (to - start)))
+    to, into, source, ids = to[order], into[order], (zero[owner] + start)[order], ids[order]
+    score = np.where(ids >= 0, scores[np.maximum(ids, 0)], vocabulary.unknown_score)
+    groups = np.flatnonzero(np.concatenate(([True], into[1:] != into[:-1])))
+    sizes = np.diff(np.append(groups, len(into)))
+    rounds = np.arange(1, int(length.max()) + 2)
+    bounds, lots = np.searchsorted(to, rounds), np.searchsorted(to[groups], rounds)
+    best, taken = np.full(nodes, -np.inf), np.zeros(nodes, dtype=np.int64)
+    best[zero] = 0.0
+    for t in range(len(rounds) - 1):
+        a, b, lot = bounds[t], bounds[t + 1], slice(lots[t], lots[t + 1])
+        if a == b:
+            raise ValueError("a unit's edges do not follow each other")
+        reached = best[source[a:b]] + score[a:b]
+        top = np.maximum.reduceat(reached, groups[lot] - a)
+        best[into[groups[lot]]] = top
+        hits = a + np.flatnonzero(reached == np.repeat(top, sizes[lot]))[::-1]
+        taken[into[hits]] = hits  # the last assignment holds: the earliest start
+    if not np.isfinite(best).all():
+        raise ValueError("a unit's edges do not follow each other")
+    alive, at, steps = np.arange(len(marks)), zero + length, []
+    while len(alive):
+        edge = taken[at]
+        steps.append((alive, ids[edge]))
+        on = source[edge] > zero[alive]
+        alive, at = alive[on], source[edge][on]
+    n = np.bincount(np.concatenate([x for x, _ in steps]), minlength=len(marks))
+    ends = np.cumsum(n)
+    path = np.zeros(int(ends[-1]), dtype=np.int64)
+    for k, (units, step) in enumerate(steps):
+        path[ends[units] - 1 - k] = step
+    if path.min() < 0:
+        spelt = [vocabulary.expand([i]) for i in path[path < 0].tolist()]
+        times = np.ones(len(path), dtype=np.int64)
+        times[path < 0] = [len(x) for x in spelt]
+        n = np.add.reduceat(times, ends - n)
+        path = np.repeat(path, times)
+        path[path < 0] = [i for x in spelt for i in x]
+    offsets = np.concatenate(([0], np.cumsum(n))).astype(np.int32)
+    made = pa.ListArray.from_arrays(pa.array(offsets), pa.array(path.astype(np.int32)))
+    return edges.drop_columns(["from", "to", "id"]).take(pa.array(marks)).append_column("ids", made)
+
+
+def _folded(vocabulary: Vocabulary):
+    """Edges of whole units, as they come, as units with their ``ids``."""
 
-def encoded_units(units: DataFrame, vocabulary: Vocabulary) -> DataFrame:
-    """``units`` (distinct non-empty ``unit``, and a column ``blocks``) with ``ids``.
+    def run(batches):
+        scores = np.zeros(vocabulary.size)
+        for _, score, i in vocabulary.pieces:
+            scores[i] = score
+        held: list[pa.RecordBatch] = []
+        rows, limit = 0, EDGES
+        for batch in batches:
+            held.append(batch)
+            rows += batch.num_rows
+            if rows >= limit:
+                edges = pa.Table.from_batches(held)
+                last = int(np.flatnonzero(edges.column("unit").is_valid().to_numpy())[-1])  # this unit may go on
+                if last:
+                    yield _best_paths(vocabulary, scores, edges.slice(0, last).combine_chunks())
+                held = edges.slice(last).combine_chunks().to_batches()
+                rows = edges.num_rows - last
+                limit = max(EDGES, 2 * rows)
+        if rows:
+            yield _best_paths(vocabulary, scores, pa.Table.from_batches(held).combine_chunks())
 
-    Both groupings are by unit, so the lattice needs no shuffle of its own.
-    """
-    grouped = edges_of(units, vocabulary).groupBy("unit").agg(F.first("blocks").alias("blocks"), F.collect_list("edge").alias("edges"))
-    path = F.when(F.length("unit") <= SHORT, short_path(F.col("edges"))).otherwise(best_path(F.col("edges"), vocabulary.longest))
-    return grouped.select("unit", "blocks", path.alias("ids"))
+    return run
 
 
 def _cut(unit: str, pieces: set[str], longest: int) -> list[str]:
@@ -245,84 +245,136 @@ def _units_of(vocabulary: Vocabulary):
     pattern, longest = re.compile(UNIT), vocabulary.longest
     pieces: set[str] = set()
 
-    def units(text: str | None) -> list[str]:
-        found = pattern.findall(vocabulary.prepared(text))
-        if max(map(len, found), default=0) <= CUT_CHARS:
-            return found
+    def cut(units: list[str]) -> list[str]:
         if not pieces:
             pieces.update(p for p, _, _ in vocabulary.pieces)
-        return [x for u in found for x in (_cut(u, pieces, longest) if len(u) > CUT_CHARS else [u])]
+        return [x for u in units for x in (_cut(u, pieces, longest) if len(u) > CUT_CHARS else [u])]
 
-    return units
+    def units(text: str | None) -> list[str]:
+        return pattern.findall(vocabulary.prepared(text))
 
+    return units, cut
 
-def _other_units(vocabulary: Vocabulary, known):
-    """Distinct units of a partition's texts that ``known`` lacks, by block."""
 
-    def run(batches):
-        units, have = _units_of(vocabulary), known.value
-        found: dict[int, set] = {}
-        for batch in batches:
-            for block, text in zip(batch.column("block").to_pylist(), batch.column("text").to_pylist(), strict=True):
-                found.setdefault(block, set()).update(u for u in {*units(text)} if u not in have)
-            if sum(map(len, found.values())) > 500_000:
-                yield _pairs(found)
-                found = {}
-        yield _pairs(found)
+def _pressed(numbers: np.ndarray, press) -> bytes:
+    """Small numbers, their first bytes together, then the second ones and so on."""
+    return press(np.ascontiguousarray(numbers.astype(np.int32).view(np.uint8).reshape(-1, 4).T).tobytes())
 
-    return run
 
+def _unpressed(data: bytes, unpress) -> np.ndarray:
+    return np.frombuffer(unpress(data), dtype=np.uint8).reshape(4, -1).T.copy().view(np.int32).reshape(-1)
 
-def _pairs(found: dict[int, set]) -> pa.RecordBatch:
-    blocks = [b for b, units in found.items() for _ in units]
-    units = [u for own in found.values() for u in sorted(own)]  # neighbours compress well
-    return pa.RecordBatch.from_arrays([pa.array(blocks, pa.int32()), pa.array(units, pa.string())], names=["block", "unit"])
+
+def _joined(units: list[str]) -> bytes:
+    """No unit holds a space: spaces are written as the space piece."""
+    return " ".join(units).encode("utf-8", "surrogatepass")
+
+
+def _split(data: bytes) -> list[str]:
+    return data.decode("utf-8", "surrogatepass").split(" ") if data else []
 
 
 def _packed(vocabulary: Vocabulary, known):
-    """Each text as numbers of known units, with -1 for others, and the others."""
+    """Each text as numbers of known units, with 0 for others, and the others."""
 
     def run(batches):
-        units, press = _units_of(vocabulary), zstandard.ZstdCompressor(level=3).compress
+        (units, cut), press = _units_of(vocabulary), zstandard.ZstdCompressor(level=3).compress
         number = known.value.get
         for batch in batches:
             numbers, others = [], []
             for text in batch.column("text").to_pylist():
                 own = units(text)
-                row = [number(u, -1) for u in own]
-                numbers.append(press(np.array(row, dtype=np.int32).tobytes()))
-                # No unit holds a space: spaces are written as the space piece.
-                others.append(press(" ".join(u for u, k in zip(own, row, strict=True) if k < 0).encode("utf-8", "surrogatepass")))
+                row = np.fromiter(map(number, own, repeat(0)), np.int32, len(own))
+                rest = [own[k] for k in np.flatnonzero(row == 0).tolist()]
+                if max(map(len, rest), default=0) > CUT_CHARS:  # known ones are short
+                    own = cut(own)
+                    row = np.fromiter(map(number, own, repeat(0)), np.int32, len(own))
+                    rest = [own[k] for k in np.flatnonzero(row == 0).tolist()]
+                numbers.append(_pressed(row, press))
+                others.append(press(_joined(rest)))
             arrays = [batch.column("row"), batch.column("block"), pa.array(numbers, pa.binary()), pa.array(others, pa.binary())]
             yield pa.RecordBatch.from_arrays(arrays, names=["row", "block", "numbers", "others"])
 
     return run
 
 
-def _bundled(batches):
-    """Rows (block, unit, ids) of a partition as one compressed row for each block."""
-    press = zstandard.ZstdCompressor(level=3).compress
-    found: dict[int, list] = {}
+def _by_part(others: list[bytes], parts: int, unpress) -> dict[int, list[str]]:
+    """Distinct units of a block's texts, in order, by the part of the lattice that they ask."""
+    distinct: set[str] = set()
+    for data in others:
+        distinct.update(_split(unpress(data)))
+    found: dict[int, list[str]] = {}
+    for u in sorted(distinct):
+        found.setdefault(zlib.crc32(u.encode("utf-8", "surrogatepass")) % parts, []).append(u)
+    return found
+
+
+def _asked(parts: int):
+    """What the blocks of a partition ask of each part."""
+
+    def run(batches):
+        press, unpress = zstandard.ZstdCompressor(level=3).compress, zstandard.ZstdDecompressor().decompress
+        texts: dict[int, list[bytes]] = {}
+        for batch in batches:
+            for block, data in zip(batch.column("block").to_pylist(), batch.column("others").to_pylist(), strict=True):
+                texts.setdefault(block, []).append(data)
+        for block in list(texts):
+            found = _by_part(texts.pop(block), parts, unpress)
+            arrays = [pa.array([*found], pa.int32()), pa.array([block] * len(found), pa.int32()), pa.array([press(_joined(u)) for u in found.values()], pa.binary())]
+            yield pa.RecordBatch.from_arrays(arrays, names=["part", "block", "units"])
+
+    return run
+
+
+def _gathered(batches):
+    """Distinct units of a partition of the lattice, and who asks: block and place there."""
+    unpress = zstandard.ZstdDecompressor().decompress
+    asked: dict[tuple[int, str], list[int]] = {}
     for batch in batches:
-        for block, unit, ids in zip(batch.column("block").to_pylist(), batch.column("unit").to_pylist(), batch.column("ids").to_pylist(), strict=True):
-            found.setdefault(block, []).append((unit, ids))
-    names = ["block", "units", "sizes", "ids"]
-    rows: list[list] = [[], [], [], []]
-    for block, pairs in found.items():
-        pairs.sort()
-        rows[0].append(block)
-        rows[1].append(press(" ".join(u for u, _ in pairs).encode("utf-8", "surrogatepass")))
-        rows[2].append(press(np.array([len(i) for _, i in pairs], dtype=np.int32).tobytes()))
-        rows[3].append(press(np.array([x for _, i in pairs for x in i], dtype=np.int32).tobytes()))
-    kinds = [pa.int32(), pa.binary(), pa.binary(), pa.binary()]
-    yield pa.RecordBatch.from_arrays([pa.array(r, k) for r, k in zip(rows, kinds, strict=True)], names=names)
+        for part, block, units in zip(*[batch.column(c).to_pylist() for c in ("part", "block", "units")], strict=True):
+            for place, u in enumerate(_split(unpress(units)), block << 32):
+                asked.setdefault((part, u), []).append(place)
+    keys = [*asked]
+    for k in range(0, len(keys), EDGE_ROWS):
+        some = keys[k : k + EDGE_ROWS]
+        arrays = [pa.array([u for _, u in some], pa.string()), pa.array([p for p, _ in some], pa.int32()), pa.array([asked.pop(x) for x in some], pa.list_(pa.int64()))]
+        yield pa.RecordBatch.from_arrays(arrays, names=["unit", "part", "asked"])
+
+
+def _answered(vocabulary: Vocabulary):
+    """Best paths of a partition's units, a row for each block: ids in the order it asked."""
+    fold = _folded(vocabulary)
+
+    def run(batches):
+        press = zstandard.ZstdCompressor(level=3).compress
+        found = [x.drop_columns(["unit"]) for x in fold(batches)]
+        if not found:
+            return
+        units = pa.concat_tables(found).combine_chunks()
+        asked, ids = (units.column(c).combine_chunks() for c in ("asked", "ids"))
+        owner = np.repeat(np.arange(len(asked)), np.diff(asked.offsets.to_numpy()))
+        places, part = asked.flatten().to_numpy(), units.column("part").to_numpy()[owner]
+        order = np.lexsort((places, part))
+        owner, part, block = owner[order], part[order], places[order] >> 32
+        begin, n = ids.offsets.to_numpy()[:-1][owner], np.diff(ids.offsets.to_numpy())[owner]
+        flat = ids.values.to_numpy()
+        new = np.flatnonzero(np.concatenate(([True], (block[1:] != block[:-1]) | (part[1:] != part[:-1]))))
+        rows: list[list] = [[], [], [], []]
+        for a, b in zip(new.tolist(), [*new[1:].tolist(), len(block)], strict=True):
+            made = int(block[a]), int(part[a]), _pressed(n[a:b], press), _pressed(flat[_spans(begin[a:b], n[a:b])], press)
+            for row, x in zip(rows, made, strict=True):
+                row.append(x)
+        kinds = [pa.int32(), pa.int32(), pa.binary(), pa.binary()]
+        yield pa.RecordBatch.from_arrays([pa.array(r, k) for r, k in zip(rows, kinds, strict=True)], names=["block", "part", "sizes", "ids"])
+
+    return run
 
 
 def _unit_counts(vocabulary: Vocabulary):
     """Short units that a partition repeats, with their counts."""
 
     def run(batches):
-        units = _units_of(vocabulary)
+        units, _ = _units_of(vocabulary)
         counts: Counter = Counter()
         for batch in batches:
             for text in batch.column("text").to_pylist():
@@ -334,78 +386,80 @@ def _unit_counts(vocabulary: Vocabulary):
 
 
 def frequent_units(docs: DataFrame, vocabulary: Vocabulary, rows: int) -> list[tuple[str, list[int]]]:
-    """At most ``HEAD_UNITS`` short units that a sample of texts repeats, encoded."""
+    """At most ``HEAD_UNITS`` short units that a sample of texts repeats, encoded; frequent ones first."""
     every = max(1, rows // HEAD_TEXTS)
     sample = docs.where(F.pmod(F.xxhash64("text"), F.lit(every)) == 0).select("text")
-    counts = sample.mapInArrow(_unit_counts(vocabulary), "unit string, n long").groupBy("unit").agg(F.sum("n").alias("n"))
-    top = counts.orderBy(F.desc("n"), "unit").limit(HEAD_UNITS).select("unit", F.lit(None).cast("array<int>").alias("blocks"))
-    got = encoded_units(top.repartition(HEAD_PARTS, "unit"), vocabulary).select("unit", "ids").toArrow()
-    return [(u, vocabulary.expand(i)) for u, i in zip(got.column("unit").to_pylist(), got.column("ids").to_pylist(), strict=True)]
+    counts = sample.mapInArrow(_unit_counts(vocabulary), "unit string, n long").groupBy("unit").agg(F.sum("n").alias("times"))
+    top = counts.orderBy(F.desc("times"), "unit").limit(HEAD_UNITS)
+    fold = _folded(vocabulary)
+
+    def paths(batches):
+        for found in fold(batches):
+            yield from found.to_batches()
+
+    got = edges_of(top.repartition(HEAD_PARTS, "unit"), vocabulary).mapInArrow(paths, "unit string, times long, ids array<int>").toArrow()
+    got = got.sort_by([("times", "descending"), ("unit", "ascending")])
+    return list(zip(got.column("unit").to_pylist(), got.column("ids").to_pylist(), strict=True))
 
 
 def encode(docs: DataFrame, vocabulary: Vocabulary, carry: list[str]) -> DataFrame:
     """``row`` (the carried columns) and ``ids`` for every row of ``docs``.
 
     Frequent units are known to every worker (a bounded dictionary, itself made by
-    the lattice). All others are collected for blocks of texts, encoded once, and
-    sent back to the blocks that hold them. Texts travel to their blocks as
-    numbers of known units. Rows fall into blocks by their columns' hash, so a
-    text that many rows copy is spread. Null and empty texts have no ids.
+    the lattice). Texts travel once, to blocks, as numbers of known units and the
+    others. A block asks each part of the lattice for its distinct others, and gets
+    their ids in the order asked; each unit is encoded once. Rows fall into blocks by
+    their columns' hash, so a text that many rows copy is spread. Null and empty texts
+    have no ids.
     """
     spark = docs.sparkSession
-    small_batches(spark)
+    edge_batches(spark)
     given = docs.select(F.struct(*[docs[f"`{c}`"] for c in carry]).alias("row"), F.col("text").cast("string").alias("text"))
     size = given.agg(F.count("*").alias("rows"), F.sum(F.length("text")).alias("chars")).first()
     rows, blocks = size.rows, max(1, -(-(size.chars or 0) // BLOCK_CHARS))
     given = given.withColumn("block", F.pmod(F.xxhash64("row", "text"), F.lit(blocks)).cast("int"))
     head = frequent_units(given, vocabulary, rows)
-    known = spark.sparkContext.broadcast({u: k for k, (u, _) in enumerate(head)})
-    sizes = np.array([len(i) for _, i in head], dtype=np.int32)
+    known = spark.sparkContext.broadcast({u: k for k, (u, _) in enumerate(head, 1)})
+    sizes = np.array([0, *[len(i) for _, i in head]], dtype=np.int32)
     known_ids = spark.sparkContext.broadcast((sizes, np.array([x for _, i in head for x in i], dtype=np.int32)))
-    parts = max(int(spark.conf.get("spark.sql.shuffle.partitions")), rows // LATTICE_TEXTS)
-    others = given.select("block", "text").mapInArrow(_other_units(vocabulary, known), "block int, unit string")
-    others = others.repartition(parts, "unit").groupBy("unit").agg(F.collect_set("block").alias("blocks"))
-    sent = (
-        encoded_units(others, vocabulary)
-        .select(F.explode("blocks").alias("block"), "unit", "ids")
-        .mapInArrow(_bundled, "block int, units binary, sizes binary, ids binary")
-    )
+    shuffled = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    parts = min(max(shuffled, BLOCK_PARTS * blocks), max(MOST_PARTS, blocks // PART_BLOCKS))
     kind = given.schema["row"].dataType.simpleString()
     packed = given.mapInArrow(_packed(vocabulary, known), f"row {kind}, block int, numbers binary, others binary")
+    packed = packed.repartition(max(shuffled, blocks), "block")  # read twice, made once
+    asked = packed.mapInArrow(_asked(parts), "part int, block int, units binary").repartitionById(parts, "part")
+    units = asked.mapInArrow(_gathered, "unit string, part int, asked array<long>")
+    answers = edges_of(units, vocabulary).mapInArrow(_answered(vocabulary), "block int, part int, sizes binary, ids binary")
 
     def assemble(left: pa.Table, right: pa.Table) -> pa.Table:
         unpress = zstandard.ZstdDecompressor().decompress
         widths, flats = [known_ids.value[0]], [known_ids.value[1]]
+        wanted = _by_part(left.column("others").to_pylist(), parts, unpress)
         own: dict[str, int] = {}
-        for units, sizes, ids in zip(*[right.column(c).to_pylist() for c in ("units", "sizes", "ids")], strict=True):
-            width, flat = np.frombuffer(unpress(sizes), dtype=np.int32), np.frombuffer(unpress(ids), dtype=np.int32)
-            if len(flat) and flat.min() < 0:
-                parts = [vocabulary.expand(x.tolist()) for x in np.split(flat, np.cumsum(width)[:-1])]
-                width = np.array([len(x) for x in parts], dtype=np.int32)
-                flat = np.array([i for x in parts for i in x], dtype=np.int32)
-            first = sum(map(len, widths))
-            for k, u in enumerate(unpress(units).decode("utf-8", "surrogatepass").split(" ")):
-                own[u] = first + k
-            widths.append(width)
-            flats.append(flat)
+        first = len(widths[0])
+        for part, sizes, ids in zip(*[right.column(c).to_pylist() for c in ("part", "sizes", "ids")], strict=True):
+            widths.append(_unpressed(sizes, unpress))
+            flats.append(_unpressed(ids, unpress))
+            own.update(zip(wanted.pop(part), range(first, first + len(widths[-1])), strict=True))
+            first += len(widths[-1])
+        if wanted:
+            raise ValueError("a part of the lattice did not answer")
         width, flat = np.concatenate(widths), np.concatenate(flats)
         begin = np.cumsum(width, dtype=np.int64) - width
         out, total = [], [0]
         for numbers, rest in zip(left.column("numbers").to_pylist(), left.column("others").to_pylist(), strict=True):
-            row = np.frombuffer(unpress(numbers), dtype=np.int32).copy()
-            spelt = unpress(rest).decode("utf-8", "surrogatepass")
+            row = _unpressed(numbers, unpress)
+            spelt = _split(unpress(rest))
             if spelt:
-                row[row < 0] = [own[u] for u in spelt.split(" ")]
-            n = width[row]
-            ends = np.cumsum(n, dtype=np.int64)
-            made = flat[np.arange(int(ends[-1]) if len(ends) else 0) + np.repeat(begin[row] - (ends - n), n)]
+                row[row == 0] = [own[u] for u in spelt]
+            made = flat[_spans(begin[row], width[row])]
             out.append(made)
             total.append(total[-1] + len(made))
         joined = np.concatenate(out) if out else np.zeros(0, dtype=np.int32)
         ids = pa.ListArray.from_arrays(pa.array(np.array(total, dtype=np.int32)), pa.array(joined, pa.int32()))
         return pa.table({"row": left.column("row"), "ids": ids})
 
-    return packed.groupBy("block").cogroup(sent.groupBy("block")).applyInArrow(assemble, f"row {kind}, ids array<int>")
+    return packed.groupBy("block").cogroup(answers.groupBy("block")).applyInArrow(assemble, f"row {kind}, ids array<int>")
 
 
 def spelt(vocabulary: Vocabulary) -> list[bytes]:

@@ -130,3 +130,27 @@ def test_query_and_stage_check_the_round_trip(spark, tmp_path, data_dir):
     assert {r.doc_id: r.round_trip for r in corpus_pipeline.tokens(spark, docs, data_dir).collect()} == want
     rows = pieces.piece_query(spark, data_dir).collect()
     assert rows and all(r.round_trip for r in rows)
+
+
+def test_texts_are_packed_once(spark, vocabulary):
+    """The blocks' distinct units come from the packed texts, not from a second pass over the table."""
+    docs = spark.createDataFrame([(k, f"word{k} and other{k % 3}") for k in range(20)], "doc_id long, text string")
+    got = pieces.encode(docs, vocabulary, ["doc_id"])
+    assert len(got.collect()) == 20
+    plan = got._jdf.queryExecution().executedPlan().toString()
+    assert "ReusedExchange" in plan and "ObjectHashAggregate" not in plan
+
+
+def test_fold_of_edges_in_small_lots(spark, vocabulary, monkeypatch):
+    """Units whose edges come in several batches and are folded in several lots."""
+    rng = random.Random(8)
+    units = [pieces.SPACE, "\n\n", "中\U0001f600", *("".join(rng.choices("aeinst,中", k=rng.randrange(1, 90))) for _ in range(60))]
+    units = sorted(set(units))
+    edges = pieces.edges_of(spark.createDataFrame([(u, k) for k, u in enumerate(units)], "unit string, place int").coalesce(1), vocabulary).toArrow()
+    for lot in (1, 500, 10**6):
+        monkeypatch.setattr(pieces, "EDGES", lot)
+        found = [x for t in pieces._folded(vocabulary)(edges.to_batches(max_chunksize=37)) for x in t.to_pylist()]
+        assert [x["place"] for x in found] == list(range(len(units)))
+        assert all(x["ids"] == plain_path(vocabulary, x["unit"]) for x in found)
+    with pytest.raises(ValueError, match="follow each other"):
+        list(pieces._folded(vocabulary)(edges.slice(0, edges.num_rows - 1).take(list(range(0, edges.num_rows - 1, 2))).to_batches()))
