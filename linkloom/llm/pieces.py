@@ -39,10 +39,12 @@ BLOCK_CHARS = 8_000_000
 #: many in all, unless each has more than so many blocks' share.
 BLOCK_PARTS, MOST_PARTS, PART_BLOCKS = 3, 500, 20
 #: Edges that are folded at once, and limits of the Arrow batches that bring them.
-EDGES, EDGE_ROWS, EDGE_BYTES = 500_000, 20_000, "1m"
+EDGES, EDGE_ROWS, EDGE_BYTES = 150_000, 20_000, "1m"
 #: Longer units are cut where no piece reaches across.
 CUT_CHARS = 512
 CHUNK = 256
+#: First characters of a substring that tell how long pieces are.
+BEGIN = 3
 
 
 @dataclass(frozen=True)
@@ -106,6 +108,15 @@ def piece_table(spark: SparkSession, vocabulary: Vocabulary) -> DataFrame:
     return spark.createDataFrame(list(vocabulary.pieces), "piece string, score double, id int")
 
 
+def length_table(spark: SparkSession, vocabulary: Vocabulary) -> DataFrame:
+    """The lengths of pieces by their first characters; all lengths too short for these."""
+    lengths: dict[str, set[int]] = {}
+    for p, _, _ in vocabulary.pieces:
+        if len(p) >= BEGIN:
+            lengths.setdefault(p[:BEGIN], set(range(1, BEGIN))).add(len(p))
+    return spark.createDataFrame([(p, sorted(n)) for p, n in lengths.items()], "begin string, lengths array<int>")
+
+
 def edge_batches(spark: SparkSession) -> None:
     """Arrow batches bounded by bytes, so that edges come many at a time and texts few."""
     spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(EDGE_ROWS))
@@ -117,6 +128,7 @@ def edges_of(units: DataFrame, vocabulary: Vocabulary) -> DataFrame:
     each substring that is a piece and for each single character that is none (there
     -1 - code point).
 
+    Only substrings as long as some piece with their first characters are looked up.
     A unit's rows follow each other. Its first character's row, the first of them, has
     the unit and its other columns; the rest have nulls there. A long unit is first cut
     into overlapping chunks, so that taking substrings costs the same in any place.
@@ -128,8 +140,9 @@ def edges_of(units: DataFrame, vocabulary: Vocabulary) -> DataFrame:
         "chunk", F.substring("unit", F.col("base") + 1, F.lit(CHUNK + longest))
     )
     starts = chunks.select(*kept, "base", "chunk", F.explode(F.sequence(F.lit(0), F.least(F.lit(CHUNK), F.length("chunk")) - 1)).alias("at"))
-    ends = starts.select(*kept, "base", "chunk", "at", F.explode(F.sequence(F.lit(1), F.least(F.lit(longest), F.length("chunk") - F.col("at")))).alias("n"))
-    spelt = ends.select(*kept, (F.col("base") + F.col("at")).alias("from"), "n", F.substring("chunk", F.col("at") + 1, F.col("n")).alias("piece"))
+    begun = starts.withColumn("begin", F.substring("chunk", F.col("at") + 1, F.lit(BEGIN))).join(F.broadcast(length_table(units.sparkSession, vocabulary)), "begin", "left")
+    ends = begun.select(*kept, "base", "chunk", "at", F.explode(F.coalesce("lengths", F.array(*[F.lit(k) for k in range(1, BEGIN)]))).alias("n"))
+    spelt = ends.where(F.col("at") + F.col("n") <= F.length("chunk")).select(*kept, (F.col("base") + F.col("at")).alias("from"), "n", F.substring("chunk", F.col("at") + 1, F.col("n")).alias("piece"))
     joined = spelt.join(pieces, "piece", "left").where("id IS NOT NULL OR n = 1")
     first = (F.col("from") == 0) & (F.col("n") == 1)
     return joined.select(
@@ -251,7 +264,11 @@ def _units_of(vocabulary: Vocabulary):
         return [x for u in units for x in (_cut(u, pieces, longest) if len(u) > CUT_CHARS else [u])]
 
     def units(text: str | None) -> list[str]:
-        return pattern.findall(vocabulary.prepared(text))
+        if not text or text[0] == " " or "  " in text or "\n\n" in text or SPACE in text:
+            return pattern.findall(vocabulary.prepared(text))
+        # Blanks and line feeds stand alone: the same units, without the pattern.
+        split = ((SPACE if vocabulary.dummy_space else "") + text.replace(" ", " " + SPACE).replace("\n", " \n ")).split(" ")
+        return [u for u in split if u] if "\n" in text else split
 
     return units, cut
 

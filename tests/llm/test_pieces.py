@@ -1,5 +1,6 @@
 """The lattice against the library's own Viterbi, and decoding against the texts."""
 
+import dataclasses
 import random
 import re
 
@@ -154,3 +155,18 @@ def test_fold_of_edges_in_small_lots(spark, vocabulary, monkeypatch):
         assert all(x["ids"] == plain_path(vocabulary, x["unit"]) for x in found)
     with pytest.raises(ValueError, match="follow each other"):
         list(pieces._folded(vocabulary)(edges.slice(0, edges.num_rows - 1).take(list(range(0, edges.num_rows - 1, 2))).to_batches()))
+
+
+def test_units_without_the_pattern(vocabulary):
+    """Texts whose blanks and line feeds stand alone are split plainly, into the same units."""
+    rng = random.Random(9)
+    texts = ["", " ", "\n", "a", "a b\nc", "a \n b\n", " a", "a  b", "\na", "a\n\nb ", "a▁b c"] + ["".join(rng.choices("ab \n▁", (9, 9, 4, 2, rng.random() < 0.2), k=rng.randrange(1, 12))) for _ in range(3000)]
+    for bare in (vocabulary, dataclasses.replace(vocabulary, dummy_space=False)):
+        units, _ = pieces._units_of(bare)
+        assert all(units(t) == re.findall(pieces.UNIT, bare.prepared(t)) for t in texts)
+
+
+def test_only_possible_lengths_are_looked_up(spark, vocabulary):
+    lengths = {r.begin: r.lengths for r in pieces.length_table(spark, vocabulary).collect()}
+    assert all(p[:3] not in lengths or len(p) in lengths[p[:3]] for p, _, _ in vocabulary.pieces)
+    assert all(p[:3] in lengths for p, _, _ in vocabulary.pieces if len(p) > 2)
