@@ -3,6 +3,7 @@
 import duckdb
 import pytest
 from oracle import compare, connect
+from pyspark.sql import functions as F
 
 import __spark_entry__ as entry
 from linkloom.session import work_path
@@ -45,3 +46,24 @@ def test_pages_stored_twice_under_one_url(spark):
     con.execute(f"CREATE VIEW pages AS SELECT * FROM read_parquet('{folder}/pages.parquet/*.parquet')")
     for name in ("ingest", "incremental_ingest"):
         assert compare(spark, con, folder, name, QUERIES[name], SQL[name]) is None
+
+
+def _odd_documents(spark, data_dir):
+    """A folder whose documents are given ones and two empty ones, of both kinds of names."""
+    folder = work_path(spark, "odd")
+    given = spark.read.parquet(f"{data_dir}/documents.parquet")
+    empty = given.limit(2).selectExpr("doc_id + 1000000 AS doc_id", "'' AS text", "lang", "source", "n_chars * 0 AS n_chars")
+    rows = given.filter("doc_id < 40").unionByName(empty.withColumn("lang", F.when(F.col("doc_id") % 2 == 0, "en").otherwise("de")))
+    rows.select(given.columns).coalesce(1).write.parquet(f"{folder}/documents.parquet")
+    con = duckdb.connect()
+    con.execute(f"CREATE VIEW documents AS SELECT * FROM read_parquet('{folder}/documents.parquet/*.parquet')")
+    for name in ("labels", "embeddings"):
+        spark.read.parquet(f"{data_dir}/{name}.parquet").write.parquet(f"{folder}/{name}.parquet")
+        con.execute(f"CREATE VIEW {name} AS SELECT * FROM read_parquet('{data_dir}/{name}.parquet')")
+    return folder, con
+
+
+@pytest.mark.parametrize("name", ["embed_missing", "persist_embeddings"])
+def test_empty_documents(spark, data_dir, name):
+    folder, con = _odd_documents(spark, data_dir)
+    assert compare(spark, con, folder, name, QUERIES[name], SQL[name]) is None
