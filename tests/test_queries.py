@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 import __spark_entry__ as entry
 from linkloom.session import work_path
+from linkloom.sources import feeds
 
 QUERIES, SQL = entry.queries(), entry.oracle_sql()
 # Only rows to show where no SQL can be given; some have none at this size.
@@ -63,7 +64,13 @@ def _odd_documents(spark, data_dir):
     return folder, con
 
 
-@pytest.mark.parametrize("name", ["embed_missing", "persist_embeddings"])
+@pytest.mark.parametrize("name", ["embed_missing", "persist_embeddings", "upload_problems"])
 def test_empty_documents(spark, data_dir, name):
     folder, con = _odd_documents(spark, data_dir)
     assert compare(spark, con, folder, name, QUERIES[name], SQL[name]) is None
+
+
+def test_empty_files_are_refused(spark):
+    files = spark.createDataFrame([("a.md", 0), ("b.md", 1), ("c.txt", 0), ("d.txt", 1)], "name string, length long")
+    assert {r.name: r.problem for r in feeds.upload_problems(files).collect()} == {
+        "a.md": 'File "a.md" is empty', "c.txt": 'File "c.txt" is empty', "d.txt": 'File "d.txt" has unsupported extension ".txt"'}
